@@ -79,7 +79,7 @@ caps as (
   select doc_id::varchar as ccid, string_split(text, chr(10)) as text from documents),
 lines0 as (
   select ccid, unnest(text) as t, generate_subscripts(text, 1) - 1 as i from caps),
-lines as (select ccid, t, i, i * 4.0::double as s, i * 4.0::double + length(t) / 16.0::double as e from lines0)"""
+lines as (select ccid, t, i, i * 4.0::double as s, i * 4.0::double + length(t) / 10.0::double as e from lines0)"""
 
 SQL = {
     "src_watch_log": "with" + WATCH + """

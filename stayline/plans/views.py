@@ -51,3 +51,69 @@ def lectures_of(watch_df: DataFrame, tol: float) -> DataFrame:
         F.max("last").alias("duration_s"),
         F.sum("n").alias("lines"),
     )
+
+
+# The invented prose has no fillers, cues or number words; these word swaps plant some.
+SPICE = [
+    (" the ", " you know "), (" and ", " um "), (" of ", " two "), (" la ", " matlab "),
+    (" le ", " hai na "), (" les ", " toh toh "), (" que ", " in this video "), (" en ", " today we "),
+    (" der ", " what "), (" in ", " we will "), (" un ", " i mean "),
+]
+
+
+def spiced(col: str = "text"):
+    out = F.col(col)
+    for a, b in SPICE:
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return out
+
+
+def scripts(spark, sf) -> DataFrame:
+    """Documents as scripts: one document is one video."""
+    return load(spark, sf, "documents").select(
+        F.col("doc_id").alias("video_id"), spiced().alias("text"), "lang"
+    )
+
+
+def marked_up_scripts(spark, sf) -> DataFrame:
+    """Documents with headings, list items, code fences, links and emphasis on fixed lines."""
+    line = F.expr(
+        r"""array_join(transform(split(text, '\n'), (x, i) -> case
+              when i % 7 = 3 then concat('```\n', x)
+              when i % 5 = 1 then concat('## ', x)
+              when i % 5 = 2 then concat(' - **', x, '** -- !')
+              when i % 5 = 4 then concat('> ... [', x, '](http://x.y) ', '.')
+              else concat(x, '\n') end), '\n')"""
+    )
+    return load(spark, sf, "documents").select(F.col("doc_id").alias("video_id"), line.alias("text"), "lang")
+
+
+def turns(spark, sf) -> DataFrame:
+    """Conversation turns as sentences; odd turns lose their final mark, every third asks."""
+    text = F.expr(
+        "case when turn % 3 = 0 then concat(rtrim('.!?', t), '?\"') when turn % 2 = 1 then rtrim('.!?', t) else t end"
+    )
+    return (
+        load(spark, sf, "conversations")
+        .select(F.col("conv_id").alias("video_id"), F.col("turn").cast("int").alias("sent_idx"), "role", "turn", spiced().alias("t"))
+        .select("video_id", "sent_idx", "role", text.alias("text"))
+    )
+
+
+def tile_words(words: DataFrame, width: float = 12.0) -> DataFrame:
+    """Words with the fixed tile they start in as ``idx``."""
+    return words.withColumn("idx", F.floor(F.col("start") / width).cast("int"))
+
+
+def word_tiles(words: DataFrame, width: float = 12.0) -> DataFrame:
+    """The tiles that hold words, as segments."""
+    per = tile_words(words, width).groupBy("video_id", "idx").agg(
+        F.min("word_idx").alias("word_start"), (F.max("word_idx") + 1).alias("word_end")
+    )
+    dur = words.groupBy("video_id").agg(F.max("end").alias("_last"))
+    return per.join(dur, "video_id").select(
+        "video_id", "idx", F.lit("speech").alias("kind"),
+        (F.col("idx") * width).alias("start"),
+        F.least((F.col("idx") + 1) * width, F.round(F.col("_last") + 0.5, 3)).alias("end"),
+        "word_start", "word_end",
+    )

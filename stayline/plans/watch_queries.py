@@ -42,7 +42,7 @@ def _caption_lines(spark, sf):
             F.struct(
                 "ccid",
                 F.expr("transform(text, (x, i) -> i * 4.0D)").alias("start"),
-                F.expr("transform(text, (x, i) -> i * 4.0D + length(x) / 16.0D)").alias("end"),
+                F.expr("transform(text, (x, i) -> i * 4.0D + length(x) / 10.0D)").alias("end"),
                 "text",
             )
         ).alias("value")

@@ -83,7 +83,8 @@ def caption_words(captions: DataFrame) -> DataFrame:
         "named_struct('s', s0, 'e', greatest(x.e, s0 + 0.01D), 't', x.t))))[0]).out"
     )
     rows = (
-        captions.select("ccid", lines.alias("_l"))
+        captions.repartition(int(captions.sparkSession.conf.get("spark.sql.shuffle.partitions")), "ccid")
+        .select("ccid", lines.alias("_l"))
         .select("ccid", usable.alias("_l"))
         .select("ccid", F.posexplode(clamped).alias("sent_idx", "line"))
         .select("ccid", "sent_idx", "line.*")
