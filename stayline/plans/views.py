@@ -117,3 +117,98 @@ def word_tiles(words: DataFrame, width: float = 12.0) -> DataFrame:
         F.least((F.col("idx") + 1) * width, F.round(F.col("_last") + 0.5, 3)).alias("end"),
         "word_start", "word_end",
     )
+
+
+def caption_units(spark, sf) -> DataFrame:
+    """Non-empty document lines as speech units on a 12 s grid; short lines leave long gaps."""
+    rows = load(spark, sf, "documents").select(
+        F.col("doc_id").alias("video_id"), F.posexplode(F.expr(r"split(text, '\n')")).alias("i", "x")
+    )
+    return rows.where("length(x) > 0").select(
+        "video_id",
+        F.col("i").alias("word_start"),
+        (F.col("i") + 1).alias("word_end"),
+        (F.col("i") * 12.0 + 2.0).alias("start"),
+        F.expr("i * 12D + 2D + least(12D, length(x) / 40D)").alias("end"),
+        F.col("i").alias("sent_idx"),
+        F.expr("case i % 3 when 0 then 'sentence' when 1 then 'pause' else 'forced_split' end").alias("boundary"),
+        F.col("x").alias("text"),
+    )
+
+
+def unit_videos(units: DataFrame) -> DataFrame:
+    return units.groupBy("video_id").agg((F.max("word_start") * 12.0 + 20.0).alias("duration_s"))
+
+
+def seg_emb(spark, sf) -> DataFrame:
+    """Vectors as segments: every 50 neighbouring ids are one video of 12 s segments."""
+    return load(spark, sf, "embeddings").select(
+        F.expr("vec_id div 50").alias("video_id"),
+        F.expr("cast(vec_id % 50 as int)").alias("idx"),
+        F.expr("(vec_id % 50) * 12D").alias("start"),
+        F.expr("(vec_id % 50) * 12D + 12D").alias("end"),
+        "label",
+        F.transform("embedding", lambda x: x.cast("double")).alias("emb"),
+    )
+
+
+#: segment measurements taken from the events: every 50 neighbouring ids are one video
+SEG_FEATURES = """
+ (select video_id, idx, k, value, kind, s, idx = 0 as is_first,
+    s as start, s + 12 as end, 600 as duration_s,
+    case when kind = 'speech' then s + 0.4 end as speech_start,
+    case when kind = 'speech' then s + 11.4 end as speech_end,
+    20 + k % 10 as word_count, k % 5 as filler_count,
+    case when kind = 'speech' then 0.4 + (k * 19 % 100) / 100.0 end as pace_ratio,
+    case when kind = 'speech' and idx > 0 then k / 100.0 end as semantic_novelty,
+    case when kind = 'speech' and idx > 0 then (k * 7 % 100) / 100.0 end as information_gain,
+    case when kind = 'speech' and idx > 1 then (k * 13 % 100) / 100.0 end as repetition_similarity,
+    case when kind = 'speech' and idx > 1 then greatest(0, idx - 2 - k % 5) end as repetition_match_segment,
+    case when kind = 'speech' then k % 4 else 0 end as repetition_count,
+    case when kind = 'speech' then (k % 10) / 10.0 end as repeated_sentence_ratio,
+    case when kind = 'speech' and idx > 0 then (k * 3 % 100) / 100.0 end as topic_shift,
+    kind = 'speech' and idx > 0 and k % 8 = 0 as topic_boundary,
+    case when kind = 'speech' then (k % 30) / 10.0 end as longest_pause_s,
+    case when kind = 'speech' and k % 30 > 0 then s + 3 end as longest_pause_at,
+    (k * 17 % 100) / 400.0 as p_drop,
+    case when k * 17 % 100 >= 90 then 'high' when k * 17 % 100 >= 75 then 'medium' else 'low' end as risk,
+    case when k % 9 > 0 then (k * 11 % 100) / 100.0 end as silence_ratio,
+    (k * 11 % 160) / 10.0 - 12 as energy_db,
+    case when k % 7 > 0 then (k * 5 % 60) / 10.0 end as energy_variation_db,
+    (k % 6) / 500.0 as clipping_ratio,
+    case when k % 4 > 0 then (k * 23 % 90) / 10.0 end as pitch_range_st,
+    case when k % 4 > 0 then (k * 23 % 90) / 50.0 end as pitch_range_ratio,
+    case when k % 11 > 0 then k * 7 % 10 end as cuts_per_minute,
+    case when k % 11 > 0 then (k * 29 % 100) / 100.0 end as static_ratio,
+    case when k % 11 > 0 then (k * 31 % 100) / 1000.0 end as visual_change_mean,
+    case when k % 11 > 0 then k * 7 % 25 end as longest_static_s,
+    k * 3 % 80 as seconds_since_cut,
+    case k % 9 when 0 then 'unclear' when 1 then 'diagram' when 2 then 'chart' when 3 then 'slide_text'
+      when 4 then 'talking_head' when 5 then 'screen' when 6 then 'broll' when 7 then 'blank' end as visual_type,
+    case when k % 9 < 8 then 0.3 + (k * 37 % 70) / 100.0 end as visual_type_share,
+    case when k % 5 > 0 then 0.6 + (k * 41 % 80) / 100.0 end as speech_match_ratio
+  from (select {id} as video_id, {pos} as idx, {pos} * 12 as s, value, {k} as k,
+          case when event_type = 'error' then 'silence' else 'speech' end as kind from events))"""
+
+_DOUBLES = (
+    "start end duration_s speech_start speech_end pace_ratio semantic_novelty information_gain "
+    "repetition_similarity repeated_sentence_ratio topic_shift longest_pause_s longest_pause_at p_drop silence_ratio "
+    "energy_db energy_variation_db clipping_ratio pitch_range_st pitch_range_ratio static_ratio visual_change_mean "
+    "longest_static_s seconds_since_cut visual_type_share speech_match_ratio cuts_per_minute"
+).split()
+
+
+def seg_features(spark, sf) -> DataFrame:
+    """Every event as one measured 12 s segment (speech, or silence for error events)."""
+    load(spark, sf, "events").createOrReplaceTempView("stayline_events")
+    inner = SEG_FEATURES.replace("{id}", "event_id div 50").replace("{pos}", "cast(event_id % 50 as int)").replace(
+        "{k}", "cast(get_json_object(props, '$.k') as int)"
+    )
+    df = spark.sql("select * from " + inner.replace("from events", "from stayline_events"))
+    df = df.withColumns({c: F.col(c).cast("double") for c in _DOUBLES})
+    m = F.col("repetition_match_segment")
+    match = F.struct(
+        (F.col("start") + 1).alias("start"), (F.col("start") + 7 + F.col("k") % 3).alias("end"),
+        (m * 12.0 + 1).alias("matched_start"), (m * 12.0 + 6).alias("matched_end"),
+    )
+    return df.withColumn("repetition_matches", F.when((F.col("k") % 3 > 0) & m.isNotNull(), F.array(match)).otherwise(F.array().cast("array<struct<start:double,end:double,matched_start:double,matched_end:double>>")))
