@@ -212,3 +212,45 @@ def seg_features(spark, sf) -> DataFrame:
         (m * 12.0 + 1).alias("matched_start"), (m * 12.0 + 6).alias("matched_end"),
     )
     return df.withColumn("repetition_matches", F.when((F.col("k") % 3 > 0) & m.isNotNull(), F.array(match)).otherwise(F.array().cast("array<struct<start:double,end:double,matched_start:double,matched_end:double>>")))
+
+
+def loudness(spark, sf) -> DataFrame:
+    """Event values as loudness frames: every 500 neighbouring ids are one 50 s video."""
+    return load(spark, sf, "events").select(
+        F.expr("event_id div 500").alias("video_id"), F.expr("cast(event_id % 500 as int)").alias("k"),
+        F.expr("10 * log10(value * value + 1e-10D)").alias("db"),
+    )
+
+
+def pitch(spark, sf) -> DataFrame:
+    """Event values as pitch frames at twice the loudness rate; error events have no pitch."""
+    return load(spark, sf, "events").select(
+        F.expr("event_id div 500").alias("video_id"), F.expr("cast(event_id % 500 as int)").alias("i"),
+        F.expr("case when event_type <> 'error' then 70 + value % 330 end").alias("f0"),
+    )
+
+
+def block_tiles(rows: DataFrame, length_s: float, width: float = 12.0) -> DataFrame:
+    """Tiles of ``width`` over [0, length_s] for every video in ``rows``; every fourth is silence."""
+    n = int(-(-length_s // width))
+    tiles = rows.select("video_id").distinct().withColumn("idx", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return tiles.select(
+        "video_id", "idx", (F.col("idx") * width).alias("start"),
+        F.least((F.col("idx") + 1) * width, F.lit(float(length_s))).alias("end"),
+        F.when(F.col("idx") % 4 == 3, "silence").otherwise("speech").alias("kind"),
+    )
+
+
+def chunks(spark, sf) -> DataFrame:
+    """Vectors as 64-sample audio chunks; 50 neighbouring ids are one recording."""
+    return load(spark, sf, "embeddings").select(
+        F.expr("vec_id div 50").alias("video_id"), F.expr("(vec_id % 50) * 64").alias("first"), F.col("embedding").alias("samples")
+    )
+
+
+def pictures(spark, sf) -> DataFrame:
+    """Vectors as tiny grey pictures (0..255) with the vector itself as picture embedding."""
+    return seg_emb(spark, sf).select(
+        "video_id", F.col("idx").alias("i"), "emb", "label",
+        F.expr("transform(emb, x -> cast(floor((x + 1) * 127.5D) as int))").alias("pixels"),
+    )
