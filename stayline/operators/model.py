@@ -274,7 +274,9 @@ def pick_threshold(train: DataFrame, score: str) -> DataFrame:
 
 def band_coverage(test: DataFrame) -> DataFrame:
     """One row: share of points inside the band, median final retention actual / predicted."""
-    inside = F.col("actual_r").between(F.col("r") + F.col("lo"), F.col("r") + F.col("hi"))
+    # compared at nine digits: the offsets are themselves differences of these columns
+    off = F.round(F.col("actual_r") - F.col("r"), 9)
+    inside = off.between(F.round("lo", 9), F.round("hi", 9))
     cover = test.agg(F.avg(inside.cast("double")).alias("coverage"))
     ends = test.groupBy("video_id").agg(F.max_by("actual_r", "idx").alias("a"), F.max_by("r", "idx").alias("p"))
     out = cover.withColumn("_k", F.lit(1))
@@ -296,12 +298,12 @@ def topk_points(tiles: DataFrame, score: str, k: int) -> DataFrame:
 
 def score_points(points: DataFrame, tiles: DataFrame, by: tuple[str, ...] = (), major: float = MAJOR_DROP, tol: float = TOLERANCE_S) -> DataFrame:
     """(by, video_id, hits, found, total, named): points within ``tol`` of a real drop, and drops
-    that some point found. ``points``: video_id, t and the ``by`` columns."""
-    p = points.withColumns({"start": F.col("t"), "end": F.col("t"), "_id": F.monotonically_increasing_id()})
+    that some point found. ``points``: video_id, rank (unique per video and ``by``), t."""
+    p = points.withColumns({"start": F.col("t"), "end": F.col("t")})
     drops = tiles.where((F.col("idx") > 0) & (F.col("hazard") >= major)).select("video_id", "idx", "start", "end")
     near = overlap_join(p, drops, tol)
     keys = [*by, "video_id"]
-    got = near.groupBy(*keys).agg(F.countDistinct("_id").alias("hits"), F.countDistinct("idx_r").alias("found"))
+    got = near.groupBy(*keys).agg(F.countDistinct("rank").alias("hits"), F.countDistinct("idx_r").alias("found"))
     named = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("named"))
     total = drops.groupBy("video_id").agg(F.count(F.lit(1)).alias("total"))
     x = named.join(got, keys, "left").join(total, "video_id", "left")
@@ -488,7 +490,7 @@ def ablations(train: DataFrame, test: DataFrame, max_iter: int = MAX_ITER) -> Da
             rate = F.greatest(F.col("raw_rate"), F.lit(0.0))
             return x.withColumn("p", rate_to_hazard(rate, F.col("end") - F.col("start"))).select(*df.columns, "p")
 
-        tr, te = scored(train), scored(test)
+        tr, te = scored(train).persist(), scored(test).persist()
         cut = pick_threshold(tr, "p").first()["threshold"]
         row = (
             curve_metrics(te).select("mae", "hazard_spearman_pooled").withColumn("_k", F.lit(1))
