@@ -254,3 +254,94 @@ def pictures(spark, sf) -> DataFrame:
         "video_id", F.col("idx").alias("i"), "emb", "label",
         F.expr("transform(emb, x -> cast(floor((x + 1) * 127.5D) as int))").alias("pixels"),
     )
+
+
+def seg_words(spark, sf) -> DataFrame:
+    """Six words per measured speech segment."""
+    return seg_features(spark, sf).where("kind = 'speech'").select("video_id", "idx", "start", F.explode(F.expr("sequence(0, 5)")).alias("j")).select(
+        "video_id", (F.col("idx") * 6 + F.col("j")).alias("word_idx"), F.expr("concat('w', idx * 6 + j)").alias("text"),
+        (F.col("start") + F.col("j") * 2 + 0.3).alias("start"), (F.col("start") + F.col("j") * 2 + 1.6).alias("end"),
+    )
+
+
+def seg_sentences(spark, sf) -> DataFrame:
+    """One sentence per measured speech segment."""
+    return seg_features(spark, sf).where("kind = 'speech'").select(
+        "video_id", F.col("idx").alias("sent_idx"), F.col("speech_start").alias("start"), F.col("speech_end").alias("end"), F.expr("concat('s', idx)").alias("text"))
+
+
+def seg_checks(spark, sf) -> DataFrame:
+    """A title check per measured video: never addressed, or at a planted segment."""
+    return seg_features(spark, sf).groupBy("video_id").agg(
+        F.min_by("speech_start", F.when((F.col("k") % 10 == 3) & (F.col("kind") == "speech"), F.col("idx"))).alias("m")
+    ).select(
+        "video_id", F.expr("case when video_id % 4 < 3 then 'alpha beta gamma' else 'x y' end").alias("title"),
+        F.expr("case when video_id % 3 > 0 then m end").alias("first_mention_s"), F.lit("s").alias("first_mention_text"),
+        F.col("m").alias("best_match_s"), F.when(F.col("m").isNotNull(), 0.5).alias("best_similarity"))
+
+
+def seg_ledger(spark, sf) -> DataFrame:
+    """Opening promises of the measured videos: kept, late or open."""
+    x = seg_features(spark, sf).where("kind = 'speech' and idx < 6 and k % 2 = 0")
+    late = "k % 3 = 1"
+    return x.select(
+        "video_id", F.col("idx").alias("sent_idx"), F.expr("concat('s', idx)").alias("text"), F.lit("intro").alias("source"),
+        F.col("speech_start").alias("made_at"), F.col("speech_end").alias("made_end"),
+        F.expr(f"case when {late} then speech_start + 100 + k end").alias("payoff_at"), F.expr(f"case when {late} then speech_start + 104 + k end").alias("payoff_end"),
+        F.expr(f"case when {late} then 'paid' end").alias("payoff_text"), F.lit(0.5).alias("similarity"),
+        F.expr(f"case when {late} then 100D + k end").alias("delay_s"), F.expr(f"case k % 3 when 0 then 'kept' when 1 then 'late' else 'open' end").alias("status"))
+
+
+def seg_points(spark, sf) -> DataFrame:
+    """A retention curve with a band for every measured video."""
+    return seg_features(spark, sf).select(
+        "video_id", "idx", F.col("end").alias("t"),
+        F.expr("greatest(0.05D, 1 - end / 700 - p_drop / 10)").alias("retention"),
+        F.expr("greatest(0.05D, 1 - end / 700 - p_drop / 10) - 0.05D - k / 2000D").alias("lower"),
+        F.expr("greatest(0.05D, 1 - end / 700 - p_drop / 10) + 0.05D + k / 2000D").alias("upper"))
+
+
+def seg_flags(spark, sf) -> DataFrame:
+    """Planted flags on the measured videos."""
+    x = seg_features(spark, sf).where("k % 6 = 0")
+    none = F.lit(None)
+    ev = F.array(F.struct(F.lit("Planted").alias("label"), F.col("k").cast("double").alias("value_num"), none.cast("string").alias("value_str"),
+                          F.lit("s").alias("unit"), none.cast("double").alias("ref_start"), none.cast("double").alias("ref_end")))
+    action = F.expr("case when k % 5 = 3 then 'ADD_VISUAL' when k % 12 = 0 then 'CUT' else 'SHORTEN' end")
+    edits = F.array(F.struct(
+        F.expr("concat('e', idx)").alias("id"), action.alias("action"), F.col("start").alias("start"), (F.col("start") + 5).alias("end"),
+        none.cast("double").alias("target_time"), F.lit("planted").alias("reason"), none.cast("string").alias("rewrite_text"), (action == "CUT").alias("simulatable")))
+    return x.select(
+        "video_id", F.expr("concat('f', idx)").alias("flag_id"), F.col("start"), F.expr("start + 12 * (1 + k % 3 + idx % 2)").alias("end"),
+        F.expr("case k % 5 when 0 then 'pacing' when 1 then 'low_information' when 2 then 'repetition' when 3 then 'visual_monotony' else 'payoff_delay' end").alias("category"),
+        F.expr("case when k % 12 = 0 then 'high' else 'medium' end").alias("severity"), (F.col("k") % 10 / 10).alias("risk_score"),
+        F.expr("case when k % 18 = 0 then 'model+rule' else 'rule' end").alias("source"), F.expr("concat('flag ', k)").alias("title"), F.lit("why").alias("explanation"),
+        ev.alias("evidence"), edits.alias("edits"))
+
+
+_DONE = "round((event_id * 37 % 5800) / 10D, 1)"
+
+
+def plans(spark, sf) -> DataFrame:
+    """Every 20 neighbouring events are one edit plan on a 600 s video."""
+    return load(spark, sf, "events").select(F.expr("event_id div 20").alias("plan_id")).distinct().withColumn("duration_s", F.lit(600.0))
+
+
+def plan_edits(spark, sf) -> DataFrame:
+    """Suggested edits: CUT (clicks and views), MOVE (signups), SHORTEN (purchases)."""
+    return load(spark, sf, "events").where("event_type <> 'error'").select(
+        F.expr("event_id div 20").alias("plan_id"), F.expr("concat('e', event_id % 20)").alias("id"), F.expr("cast(event_id % 20 as int)").alias("pos"),
+        F.expr("case when event_type in ('click', 'view') then 'CUT' when event_type = 'signup' then 'MOVE' else 'SHORTEN' end").alias("action"),
+        F.expr(_DONE).alias("start"), F.expr(f"{_DONE} + 1 + event_id % 13").alias("end"),
+        F.expr("case when event_type = 'signup' then round((event_id * 91 % 5900) / 10D, 1) end").alias("target_time"),
+        F.expr("event_type in ('click', 'view')").alias("simulatable"), F.lit("planted").alias("reason"))
+
+
+def plan_custom(spark, sf) -> DataFrame:
+    """The editor's own edits (error events): speed-ups, cuts and trims."""
+    return load(spark, sf, "events").where("event_type = 'error'").select(
+        F.expr("event_id div 20").alias("plan_id"), F.expr("concat('c', event_id % 20)").alias("id"), F.expr("cast(event_id % 20 as int)").alias("pos"),
+        F.expr("case event_id % 4 when 0 then 'SPEED' when 1 then 'CUT' when 2 then 'SPEED' else case when event_id % 8 = 3 then 'TRIM_START' else 'TRIM_END' end end").alias("action"),
+        F.expr(f"case when event_id % 8 = 7 then 590D + event_id % 9 else {_DONE} end").alias("start"),
+        F.expr(f"case when event_id % 8 = 3 then 1D + event_id % 11 else {_DONE} + 2 + event_id % 17 end").alias("end"),
+        F.expr("1.25D + (event_id % 3) * 0.25D").alias("factor"))
