@@ -122,7 +122,7 @@ SQL = {
     "promise_check": CHECK + " select video_id, fm as first_mention_s, ft as first_mention_text, bm as best_match_s, round_even(bs, 4) as best_similarity from checkd",
     "promise_ledger": LEDGERQ + """
 select video_id, p as sent_idx, 'intro' as source, ps as made_at, pe as made_end, hs as payoff_at, round_even(coalesce(hsim, best), 4) as similarity,
-  round_even((hs - ps)::decimal(30, 14), 1)::double as delay_s, case when hs is null then 'open' when hs - ps > 90 then 'late' else 'kept' end as status from full0
+  round(round(hs - ps, 9), 1) as delay_s, case when hs is null then 'open' when hs - ps > 90 then 'late' else 'kept' end as status from full0
 union all
 select t.video_id, -1, 'title', 0, 0, fm, null, fm, case when fm is null then 'open' when fm > 90 then 'late' else 'kept' end
 from titles t join checkd using (video_id) where len(string_split(title, ' ')) >= 3""",
@@ -303,8 +303,8 @@ select video_id, sent_idx, rewrite, n as original_words, m as rewrite_words, ms
 select s.video_id, count(*) as segments, sum(filler_count)::bigint as fillers,
   (select count(*) from fl f where f.video_id = s.video_id) as flags, (select count(*) from fl f where f.video_id = s.video_id and severity = 'high') as high_flags,
   (select count(*) from led l where l.video_id = s.video_id and status <> 'kept') as broken_promises,
-  (select round(avg(pacing), 4) from sco x where x.video_id = s.video_id) as pacing, (select round(avg(content), 4) from sco x where x.video_id = s.video_id) as content,
-  (select round(avg(visual), 4) from sco x where x.video_id = s.video_id) as visual, (select round(avg(audio), 4) from sco x where x.video_id = s.video_id) as audio,
+  (select round(round(avg(pacing), 9), 4) from sco x where x.video_id = s.video_id) as pacing, (select round(round(avg(content), 9), 4) from sco x where x.video_id = s.video_id) as content,
+  (select round(round(avg(visual), 9), 4) from sco x where x.video_id = s.video_id) as visual, (select round(round(avg(audio), 9), 4) from sco x where x.video_id = s.video_id) as audio,
   (select round(arg_max(retention, t), 4) from pts p where p.video_id = s.video_id) as end_retention, (select round(arg_max(lower, t), 4) from pts p where p.video_id = s.video_id) as end_lower,
   (select round(arg_max(upper, t), 4) from pts p where p.video_id = s.video_id) as end_upper from segf s group by 1""",
     "display_order": SEGF + FLAGS + " select video_id, flag_id, row_number() over (partition by video_id order by severity, start, flag_id) as place from fl",

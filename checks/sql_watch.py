@@ -81,7 +81,22 @@ lines0 as (
   select ccid, unnest(text) as t, generate_subscripts(text, 1) - 1 as i from caps),
 lines as (select ccid, t, i, i * 4.0::double as s, i * 4.0::double + length(t) / 10.0::double as e from lines0)"""
 
+ASR = """with l as (
+  select doc_id as video_id, unnest(string_split(text, chr(10))) as x, generate_subscripts(string_split(text, chr(10)), 1) - 1 as i,
+         len(string_split(text, chr(10))) as n from documents),
+w0 as (select video_id, i, n, list_filter(string_split(x, ' '), lambda w: w <> '') as ws from l),
+w1 as (select video_id, i, n, unnest(ws) as w, generate_subscripts(ws, 1) - 1 as j from w0),
+w2 as (select video_id, i, n, j, regexp_replace(w, '^""" + WS + "+|" + WS + """+$', '', 'g') as text,
+    round_even(i * 10::double + j * 0.37::double - (j % 4) * 0.5::double, 3) as s, round_even(i * 10::double + j * 0.37::double + 0.3::double - (j % 5) * 0.1::double, 3) as e,
+    0.5::double + (j % 5) / 10::double as p from w1 where j % 7 <> 6),
+asr as (select video_id, row_number() over o - 1 as word_idx, text, max(s) over (o rows unbounded preceding) as start, e, p,
+    coalesce(lead(i) over o <> i, true) and i < n - 1 as phrase_break from w2 where text <> '' window o as (partition by video_id order by i, j))"""
+
 SQL = {
+    "src_asr_words": ASR + """ select video_id, word_idx, text, start, greatest(e, start) as "end", round(p, 2) as confidence, phrase_break from asr""",
+    "asr_confidence": ASR + " select video_id, round_even(avg(p), 4) as mean_confidence from asr group by 1",
+    "rate_to_hazard": BASE + """
+select video_id, idx, round(1 - exp(-greatest(signed_rate, 0) * greatest("end" - start, 0)), 6) as hazard from haz""",
     "src_watch_log": "with" + WATCH + """
 select viewer_id::varchar as viewer_id, 0 as entry, video_id, round(start_point, 6) as start_point,
        round(end_point, 6) as end_point from watch where video_id <> 'error'""",

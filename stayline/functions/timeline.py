@@ -43,7 +43,7 @@ def flag_runs(df: DataFrame, keys: list[str], order: str, cond: Column) -> DataF
 def mmss(seconds: Column) -> Column:
     """Seconds as MM:SS text, half-even rounding, negatives shown as 00:00."""
     t = F.greatest(F.lit(0), F.bround(seconds).cast("long"))
-    return F.format_string("%02d:%02d", F.floor(t / 60).cast("long"), t % 60)
+    return F.when(seconds.isNotNull(), F.format_string("%02d:%02d", F.floor(t / 60).cast("long"), t % 60))
 
 
 def frames_of(segments: DataFrame, first: Column, past: Column, name: str = "k") -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from stayline.functions.timeline import flag_runs, mmss, overlap_join
+from stayline.session import ensure_checkpoint_dir
 
 # Fixed values
 HOOK_S, LEAD_SILENCE_S, FILLER_RATIO = 30.0, 5.0, 0.06
@@ -40,7 +41,9 @@ VISUAL_FIX = {
     "blank": "Put something on screen: the topic, a diagram or your face",
 }
 
-_VIDEO = W.partitionBy("video_id")
+def _video():
+    return W.partitionBy("video_id")
+
 _NO_EDITS = "array<struct<action:string,start:double,end:double,target_time:double,reason:string,rewrite_text:string>>"
 
 
@@ -159,7 +162,7 @@ def rule_repetition(segs: DataFrame, promises: DataFrame) -> DataFrame:
     """Segments that say again what was said well before, judged against the video's own level;
     the strongest few. A segment that only echoes the promise line is the payoff, not a repeat."""
     speech = segs.where("kind = 'speech'")
-    usual = F.percentile("repetition_similarity", F.lit(REPEAT_Q)).over(_VIDEO)
+    usual = F.percentile("repetition_similarity", F.lit(REPEAT_Q)).over(_video())
     x = speech.withColumn("_thr", F.greatest(F.lit(REPEAT_FLAG), usual)).where(F.col("repetition_similarity") >= F.col("_thr"))
     m = segs.select("video_id", F.col("idx").alias("repetition_match_segment"), F.col("start").alias("_ms"), F.col("end").alias("_me"))
     x = x.join(m, ["video_id", "repetition_match_segment"]).join(promises.select("video_id", "first_mention_s"), "video_id", "left")
@@ -167,7 +170,7 @@ def rule_repetition(segs: DataFrame, promises: DataFrame) -> DataFrame:
     echo = F.when(F.size(hits) > 0, F.forall(hits, lambda h: (h["matched_start"] <= fm) & (fm < h["matched_end"] + 1e-6))).otherwise(
         (F.col("_ms") <= fm) & (fm < F.col("_me")))
     x = x.where(fm.isNull() | ~echo)
-    best = _VIDEO.orderBy(F.desc("repetition_similarity"), "start")
+    best = _video().orderBy(F.desc("repetition_similarity"), "start")
     x = x.withColumn("_place", F.row_number().over(best)).where(F.col("_place") <= REPEAT_MAX)
     lo, hi = F.coalesce("speech_start", "start"), F.coalesce("speech_end", "end")
     a = F.greatest(lo, F.coalesce(F.array_min(F.transform(hits, lambda h: h["start"])), lo))
@@ -192,7 +195,7 @@ def rule_repetition(segs: DataFrame, promises: DataFrame) -> DataFrame:
 def rule_low_information(segs: DataFrame) -> DataFrame:
     """Runs of speech that add little, below an absolute level and the video's own low level."""
     speech = segs.where("kind = 'speech'")
-    thr = F.least(F.lit(GAIN_FLAG), F.percentile("information_gain", F.lit(GAIN_Q)).over(_VIDEO))
+    thr = F.least(F.lit(GAIN_FLAG), F.percentile("information_gain", F.lit(GAIN_Q)).over(_video()))
     x = speech.withColumn("_thr", F.coalesce(thr, F.lit(GAIN_FLAG)))
     runs = flag_runs(x, ["video_id"], "idx", F.col("information_gain") < F.col("_thr")).groupBy("video_id", "run").agg(
         F.min("start").alias("s"), F.max("end").alias("e"), F.min("information_gain").alias("low"),
@@ -285,7 +288,7 @@ def rule_model_only(segs: DataFrame, flags: DataFrame) -> DataFrame:
     high = segs.where("risk = 'high'").select("video_id", "idx", "start", "end", "p_drop")
     hit = overlap_join(high, flags.select("video_id", "start", "end"), closed=False).select("video_id", "idx").distinct()
     x = high.join(hit, ["video_id", "idx"], "left_anti")
-    x = x.withColumn("_r", F.row_number().over(_VIDEO.orderBy(F.desc("p_drop"), "idx"))).where(F.col("_r") <= MODEL_MAX)
+    x = x.withColumn("_r", F.row_number().over(_video().orderBy(F.desc("p_drop"), "idx"))).where(F.col("_r") <= MODEL_MAX)
     return _flags(
         x, 9, start=F.col("start"), end=F.col("end"), severity="medium", category="model_risk", risk=F.bround(F.least(F.lit(1.0), F.col("p_drop") * 5), 3),
         title="Model-estimated drop risk, no single clear cause",
@@ -435,10 +438,12 @@ def assemble(segs: DataFrame, rules: list[DataFrame], words: DataFrame | None =
     flags = rules[0]
     for r in rules[1:]:
         flags = flags.unionByName(r)
-    # every step below reads the flags twice (as rows and as ranges): a few rows per video, kept
-    flags = flags.persist()
+    # every step below reads the flags twice (as rows and as ranges); checkpoints keep both the
+    # work and the plan from doubling each time. A few rows per video are written.
+    ensure_checkpoint_dir(segs.sparkSession)
+    flags = flags.checkpoint()
     flags = flags.unionByName(rule_model_only(segs, flags))
-    order = _VIDEO.orderBy("rule", "start", "end")
+    order = _video().orderBy("rule", "start", "end")
     before = order.rowsBetween(W.unboundedPreceding, -1)
     flags = flags.withColumns({
         "flag_id": F.concat(F.lit("f"), F.row_number().over(order).cast("string")),
@@ -447,9 +452,9 @@ def assemble(segs: DataFrame, rules: list[DataFrame], words: DataFrame | None =
     if words is not None:
         flags = _snap_edits(flags, words)
     keys = ["video_id", "flag_id"]
-    flags = flag_source(flags.persist(), segs, keys).persist()
-    flags = delivery_evidence(flags, segs, keys, phrases).persist()
-    flags = visual_evidence(flags, segs, keys).persist()
+    flags = flag_source(flags.checkpoint(), segs, keys).checkpoint()
+    flags = delivery_evidence(flags, segs, keys, phrases).checkpoint()
+    flags = visual_evidence(flags, segs, keys).checkpoint()
     flags = visual_compensation(flags, segs, keys)
     edits = F.transform("edits", lambda e, n: F.struct(
         F.concat(F.lit("e"), (F.col("_e0") + n + 1).cast("string")).alias("id"), F.col("flag_id"), e["action"].alias("action"),

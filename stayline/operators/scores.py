@@ -19,7 +19,9 @@ SOURCE_NUMBER = r"(\d+(?:[.:]\d+)?%?)"
 ECHO = r"(?i)^\s*(?:lines\s*)?\(?\s*\d{1,2}:\d{2}(?:\s*[–—-]\s*\d{1,2}:\d{2})?\s*\)?\s*[:,.–—-]*\s*"
 SMALL_NUMBERS = ["0", "1", "2", "3"]
 
-_VIDEO = W.partitionBy("video_id")
+def _video():
+    return W.partitionBy("video_id")
+
 
 
 def _share_at_or_below(c: Column) -> Column:
@@ -37,7 +39,7 @@ def segment_scores(segs: DataFrame) -> DataFrame:
         "_p_var": "energy_variation_db", "_p_pitch": "pitch_range_st",
     }
     x = x.withColumns({k: _share_at_or_below(F.col(v)) for k, v in shares.items()})
-    x = x.withColumn("_thr", F.greatest(F.lit(REPEAT_FLOOR), F.percentile("_repetition_similarity", F.lit(0.9)).over(_VIDEO)))
+    x = x.withColumn("_thr", F.greatest(F.lit(REPEAT_FLOOR), F.percentile("_repetition_similarity", F.lit(0.9)).over(_video())))
     pacing = F.when(speech, 100 * (F.col("pace_ratio") - 0.5) / 0.6)
     content = F.when(speech, 100 * (0.5 * F.col("_p_nov") + 0.5 * F.col("_p_gain")))
     content = content * F.when(F.col("_repetition_similarity") >= F.col("_thr"), REPEAT_PENALTY).otherwise(1.0)
@@ -162,4 +164,4 @@ def report_rollup(flags: DataFrame, segs: DataFrame, scores: DataFrame, ledger:
 
 def display_order(flags: DataFrame) -> DataFrame:
     """Adds ``place``: high severity first, then by time."""
-    return flags.withColumn("place", F.row_number().over(_VIDEO.orderBy((F.col("severity") != "high").cast("int"), "start", "flag_id")))
+    return flags.withColumn("place", F.row_number().over(_video().orderBy((F.col("severity") != "high").cast("int"), "start", "flag_id")))

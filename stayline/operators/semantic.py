@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 # Fixed values
 BLOCK = 512
@@ -32,7 +32,7 @@ def dims(toks: Column) -> Column:
     return F.transform(toks, lambda t: (F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long") % HASH_DIM).cast("int"))
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _unit_counts(buckets: pd.Series) -> pd.Series:
     def one(b):
         v = np.bincount(np.asarray(b, dtype=np.int64), minlength=HASH_DIM).astype(np.float64)

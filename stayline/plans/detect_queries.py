@@ -165,7 +165,7 @@ def report_rollup(spark, sf):
     segs = v.seg_features(spark, sf)
     x = sc.report_rollup(v.seg_flags(spark, sf), segs, sc.segment_scores(segs), v.seg_ledger(spark, sf), v.seg_points(spark, sf))
     return x.select("video_id", "segments", "fillers", "flags", "high_flags", "broken_promises",
-                    *[F.round(c, 4).alias(c) for c in ("pacing", "content", "visual", "audio", "end_retention", "end_lower", "end_upper")])
+                    *[F.round(F.round(c, 9), 4).alias(c) for c in ("pacing", "content", "visual", "audio", "end_retention", "end_lower", "end_upper")])
 
 
 def display_order(spark, sf):

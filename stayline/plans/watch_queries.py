@@ -67,6 +67,26 @@ def src_caption_words(spark, sf):
     )
 
 
+def _asr_lines(spark, sf):
+    """Documents as recogniser output: a line is a segment, word times overlap and run backwards."""
+    words = (
+        "transform(filter(split(x, ' '), w -> w <> ''), (w, j) -> named_struct('word', if(j % 7 = 6, ' ', concat(' ', w)),"
+        " 'start', i * 10D + j * 0.37D - (j % 4) * 0.5D, 'end', i * 10D + j * 0.37D + 0.3D - (j % 5) * 0.1D, 'probability', 0.5D + (j % 5) / 10D))"
+    )
+    segs = F.expr(rf"transform(split(text, '\n'), (x, i) -> named_struct('start', i * 10D, 'end', i * 10D + 9, 'text', x, 'words', {words}))")
+    d = v.load(spark, sf, "documents").select(F.col("doc_id").alias("video_id"), segs.alias("segments"))
+    return d.select("video_id", F.to_json(F.struct("segments")).alias("value"))
+
+
+def src_asr_words(spark, sf):
+    w = src.asr_words(_asr_lines(spark, sf))
+    return w.select("video_id", "word_idx", "text", "start", "end", F.round("confidence", 2).alias("confidence"), "phrase_break")
+
+
+def asr_confidence(spark, sf):
+    return src.mean_confidence(src.asr_words(_asr_lines(spark, sf)))
+
+
 def merge_intervals(spark, sf):
     m = op.merge_intervals(v.watch(spark, sf))
     return m.select("viewer_id", "video_id", _r("start"), _r("end"))
@@ -147,6 +167,11 @@ def hazard_to_rate(spark, sf):
     return t.select("video_id", "idx", _r("rate"), F.round(back, 6).alias("hazard_back"))
 
 
+def rate_to_hazard(spark, sf):
+    t = _tiles(spark, sf)
+    return t.select("video_id", "idx", F.round(op.rate_to_hazard(F.col("signed_rate"), F.col("end") - F.col("start")), 6).alias("hazard"))
+
+
 def signed_rate(spark, sf):
     return _tiles(spark, sf).select("video_id", "idx", _r("signed_rate"))
 
@@ -158,8 +183,8 @@ def curve_from_hazard(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        src_watch_log, src_id_map, src_captions, src_caption_words, merge_intervals, anchor_start,
+        src_watch_log, src_id_map, src_captions, src_caption_words, src_asr_words, asr_confidence, merge_intervals, anchor_start,
         viewer_counts, qualify_topk, coverage_diff, retention_curve, hash_split, segment_hazard,
-        actual_at_end, hazard_to_rate, signed_rate, curve_from_hazard,
+        actual_at_end, hazard_to_rate, rate_to_hazard, signed_rate, curve_from_hazard,
     )
 }

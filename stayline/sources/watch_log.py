@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 WATCH_SCHEMA = (
     "id STRING, seq ARRAY<STRUCT<video_id STRING, "
@@ -99,3 +99,34 @@ def caption_words(captions: DataFrame) -> DataFrame:
         F.bround(F.col("s") + F.col("pos") * step, 3).alias("start"),
         F.bround(F.col("s") + (F.col("pos") + 1) * step, 3).alias("end"),
     )
+
+
+ASR_SCHEMA = (
+    "segments ARRAY<STRUCT<start DOUBLE, end DOUBLE, text STRING, "
+    "words ARRAY<STRUCT<word STRING, start DOUBLE, end DOUBLE, probability DOUBLE>>>>"
+)
+
+
+def asr_words(results: DataFrame, col: str = "value") -> DataFrame:
+    """Recogniser JSON (one row per video) -> words in time order: blank words dropped, no start
+    before the previous one, no end before its start; the last word of every recogniser segment
+    but the final one carries ``phrase_break``. The compact rows are placed by video once."""
+    n = int(results.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    x = results.repartition(n, "video_id").select("video_id", F.from_json(F.col(col), ASR_SCHEMA).alias("d"))
+    x = x.select("video_id", F.size("d.segments").alias("_n"), F.posexplode("d.segments").alias("_seg", "s"))
+    x = x.select("video_id", "_n", "_seg", F.posexplode("s.words").alias("_pos", "w"))
+    x = x.withColumn("text", F.regexp_replace("w.word", f"^{WS}+|{WS}+$", "")).where("text <> ''")
+    order = W.partitionBy("video_id").orderBy("_seg", "_pos")
+    start = F.max(F.bround("w.start", 3)).over(order.rowsBetween(W.unboundedPreceding, 0))
+    nxt = F.lead("_seg").over(order)
+    x = x.withColumns({"start": start, "word_idx": F.row_number().over(order) - 1, "_next": nxt})
+    last = F.coalesce(F.col("_next") != F.col("_seg"), F.lit(True))
+    return x.select(
+        "video_id", "word_idx", "text", "start", F.greatest(F.bround("w.end", 3), "start").alias("end"),
+        F.col("w.probability").alias("confidence"), F.lit(False).alias("paragraph_break"),
+        (last & (F.col("_seg") < F.col("_n") - 1)).alias("phrase_break"),
+    )
+
+
+def mean_confidence(words: DataFrame) -> DataFrame:
+    return words.groupBy("video_id").agg(F.bround(F.avg("confidence"), 4).alias("mean_confidence"))
