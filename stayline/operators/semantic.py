@@ -43,6 +43,16 @@ def _unit_counts(buckets: pd.Series) -> pd.Series:
     return buckets.map(one)
 
 
+def _matrix(column: pd.Series, kind: str) -> np.ndarray:
+    """Rows of unit vectors, from dense arrays or from token buckets."""
+    if kind == "emb":
+        return np.stack(column)
+    out = np.zeros((len(column), HASH_DIM))
+    for i, b in enumerate(column):
+        np.add.at(out[i], np.asarray(b if len(b) else [0], dtype=np.int64), 1.0)
+    return out / np.linalg.norm(out, axis=1, keepdims=True)
+
+
 def hash_embed(toks: Column) -> Column:
     """Hashed bag of words as a dense unit vector; no tokens gives the first axis."""
     return _unit_counts(dims(toks))
@@ -67,15 +77,17 @@ def best_earlier(
 ) -> DataFrame:
     """(video_id, idx, sim, match, n_similar): for each eligible item the most similar eligible
     earlier item (``gap_s``: it must have ended that long before), earliest on ties, and how many
-    reach the threshold. ``items``: video_id, idx (position), start, end, eligible, emb."""
-    x = items.select("video_id", "idx", "start", "end", "eligible", "emb").withColumn("_b", F.floor(F.col("idx") / block).cast("int"))
+    reach the threshold. ``items``: video_id, idx (position), start, end, eligible and ``emb``, or
+    ``dims`` (token buckets): then the hashed vectors are built where they are compared."""
+    vec = "dims" if "dims" in items.columns else "emb"
+    x = items.select("video_id", "idx", "start", "end", "eligible", vec).withColumn("_b", F.floor(F.col("idx") / block).cast("int"))
     top = x.groupBy("video_id").agg(F.max("_b").alias("_top"))
     pairs = F.expr(
         "concat(transform(sequence(0, _b), q -> named_struct('p', _b, 'q', q)),"
         "if(_top > _b, transform(sequence(_b + 1, _top), p -> named_struct('p', p, 'q', _b)), array()))"
     )
     sent = x.join(top, "video_id").select(
-        "video_id", "idx", "start", "end", "eligible", "emb", "_b", F.explode(pairs).alias("_pq")
+        "video_id", "idx", "start", "end", "eligible", vec, "_b", F.explode(pairs).alias("_pq")
     ).select("*", F.col("_pq.p").alias("_p"), F.col("_pq.q").alias("_q")).drop("_pq")
     video_type = items.schema["video_id"].dataType.simpleString()
 
@@ -85,7 +97,7 @@ def best_earlier(
         left, right = pdf[pdf["_b"] == p], pdf[(pdf["_b"] == q) & pdf["eligible"]]
         out = pd.DataFrame({"video_id": left["video_id"], "idx": left["idx"], "sim": None, "match": None, "n_similar": 0})
         if len(right):
-            sims = np.round(np.stack(left["emb"]) @ np.stack(right["emb"]).T, DIGITS)
+            sims = np.round(_matrix(left[vec], vec) @ _matrix(right[vec], vec).T, DIGITS)
             ok = right["idx"].to_numpy()[None, :] < left["idx"].to_numpy()[:, None]
             ok &= left["eligible"].to_numpy(bool)[:, None]
             if gap_s is not None:

@@ -28,17 +28,9 @@ def hard_breaks(words: DataFrame) -> DataFrame:
     )
 
 
-def _soft_breaks(marked: DataFrame) -> DataFrame:
-    """(video_id, word_idx, soft): pauses, phrase ends and the length limit count from the
-    start of the running sentence, so each hard run is folded in word order. Runs that cannot
-    break are never collected; a run is at most one transcript's words."""
-    order = W.partitionBy("video_id").orderBy("word_idx").rowsBetween(W.unboundedPreceding, -1)
-    runs = marked.withColumn("run", F.coalesce(F.count("hard").over(order), F.lit(0)))
-    packed = runs.groupBy("video_id", "run").agg(
-        F.max("end").alias("_e"), F.min("start").alias("_s"),
-        F.bool_or(F.col("hard").isNull() & ((F.col("gap") >= PAUSE_GAP_S) | F.col("phrase_break"))).alias("_maybe"),
-        F.collect_list(F.when(F.col("hard").isNull(), F.struct("word_idx", "start", "end", "gap", "phrase_break"))).alias("ws"),
-    ).where((F.col("_e") - F.col("_s") >= MAX_SENTENCE_S) | F.col("_maybe"))
+def _soft_ends() -> str:
+    """Pauses, phrase ends and the length limit count from the start of the running sentence, so
+    the words of a hard run are folded in order; the state is one time and the breaks found."""
     reason = (
         f"case when w.gap >= {PAUSE_GAP_S}D and w.end - rs >= {PAUSE_MIN_S}D then 'pause'"
         f" when w.phrase_break and w.end - rs >= {PHRASE_MIN_S}D then 'phrase'"
@@ -47,41 +39,61 @@ def _soft_breaks(marked: DataFrame) -> DataFrame:
     step = (
         f"transform(array(coalesce(a.rs, w.start)), rs -> transform(array({reason}), why -> named_struct("
         "'rs', if(why is null, rs, null), 'out', if(why is null, a.out, "
-        "array_append(a.out, named_struct('word_idx', w.word_idx, 'soft', why)))))[0])[0]"
+        "array_append(a.out, named_struct('word_idx', w.word_idx, 'why', why)))))[0])[0]"
+    )
+    may = (
+        f"size(ws) > 1 and (element_at(ws, -1).end - ws[0].start >= {MAX_SENTENCE_S}D"
+        f" or exists(ws, w -> w.gap >= {PAUSE_GAP_S}D or w.phrase_break))"
     )
-    fold = F.expr(
-        "aggregate(array_sort(ws), named_struct('rs', cast(null as double), 'out', "
-        f"cast(array() as array<struct<word_idx:int,soft:string>>)), (a, w) -> {step}).out"
+    none = "cast(array() as array<struct<word_idx:int,why:string>>)"
+    return (
+        f"if({may}, aggregate(slice(ws, 1, size(ws) - 1), named_struct('rs', cast(null as double), 'out', {none}),"
+        f" (a, w) -> {step}).out, {none})"
     )
-    return packed.select("video_id", F.explode(fold).alias("x")).select("video_id", "x.*")
 
 
-def word_sentences(words: DataFrame, soft: bool = True) -> DataFrame:
-    """Words with ``sent_idx`` and, on each last word of a sentence, ``end_reason``."""
+def sentences_with_words(words: DataFrame, soft: bool = True) -> DataFrame:
+    """(video_id, sent_idx, end_reason, ws): one row per sentence with its words as an array of
+    (word_idx, start, end, gap, phrase_break, text). One pass: words are gathered per run between
+    hard breaks (at most one transcript), and the run is cut into sentences in place."""
     marked = hard_breaks(words)
-    if soft:
-        marked = marked.join(_soft_breaks(marked), ["video_id", "word_idx"], "left")
-        reason = F.coalesce("hard", "soft")
-    else:
-        reason = F.col("hard")
     past = W.partitionBy("video_id").orderBy("word_idx").rowsBetween(W.unboundedPreceding, -1)
-    return marked.withColumn("end_reason", reason).withColumn(
-        "sent_idx", F.coalesce(F.count("end_reason").over(past), F.lit(0)).cast("int")
-    ).drop("hard", "soft")
+    runs = marked.withColumn("run", F.coalesce(F.count("hard").over(past), F.lit(0)))
+    row = F.struct(F.col("word_idx").cast("int").alias("word_idx"), "start", "end", "gap", "phrase_break", "text")
+    packed = runs.groupBy("video_id", "run").agg(
+        F.array_sort(F.collect_list(row)).alias("ws"), F.max_by("hard", "word_idx").alias("why")
+    )
+    ends = _soft_ends() if soft else "cast(array() as array<struct<word_idx:int,why:string>>)"
+    packed = packed.withColumn("_ends", F.expr(f"array_append({ends}, named_struct('word_idx', element_at(ws, -1).word_idx, 'why', why))"))
+    cuts = F.expr(
+        "transform(_ends, (c, i) -> named_struct('from', if(i = 0, 0, _ends[i - 1].word_idx - ws[0].word_idx + 1),"
+        " 'to', c.word_idx - ws[0].word_idx, 'why', c.why))"
+    )
+    x = packed.select("video_id", "ws", F.explode(cuts).alias("c")).select(
+        "video_id", F.col("c.why").alias("end_reason"), F.expr("slice(ws, c.from + 1, c.to - c.from + 1)").alias("ws")
+    )
+    order = W.partitionBy("video_id").orderBy(F.expr("ws[0].word_idx"))
+    return x.withColumn("sent_idx", (F.row_number().over(order) - 1).cast("int"))
+
+
+def word_sentences(words: DataFrame, soft: bool = True) -> DataFrame:
+    """Words with ``sent_idx``."""
+    x = sentences_with_words(words, soft).select("video_id", "sent_idx", F.explode("ws").alias("w"))
+    return x.select("video_id", "sent_idx", "w.*")
 
 
-def sentence_table(worded: DataFrame) -> DataFrame:
+def sentence_table(sents: DataFrame) -> DataFrame:
     """(video_id, sent_idx, start, end, word_start, word_end, end_reason, text)."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("word_idx", "text"))), lambda x: x["text"])
-    return worded.groupBy("video_id", "sent_idx").agg(
-        F.min("start").alias("start"),
-        F.max_by("end", "word_idx").alias("end"),
-        F.min("word_idx").alias("word_start"),
-        (F.max("word_idx") + 1).alias("word_end"),
-        F.max_by("end_reason", "word_idx").alias("end_reason"),
-        join_tokens(ordered).alias("text"),
+    return sents.select(
+        "video_id", "sent_idx",
+        F.expr("ws[0].start").alias("start"),
+        F.element_at("ws", -1)["end"].alias("end"),
+        F.expr("ws[0].word_idx").alias("word_start"),
+        (F.element_at("ws", -1)["word_idx"] + 1).alias("word_end"),
+        "end_reason",
+        join_tokens(F.transform("ws", lambda w: w["text"])).alias("text"),
     )
 
 
 def build_sentences(words: DataFrame) -> DataFrame:
-    return sentence_table(word_sentences(words))
+    return sentence_table(sentences_with_words(words))

@@ -23,8 +23,8 @@ def _shape(df):
 def script_lines(spark, sf):
     """Script sentences with tokens and vectors; the middle sentence is the video's title."""
     w = tq.words(spark, sf)
-    s = text.sentence_features(sen.sentence_table(sen.word_sentences(w, soft=False)))
-    s = s.withColumn("emb", semantic.hash_embed(F.col("tokens")))
+    s = text.sentence_features(sen.sentence_table(sen.sentences_with_words(w, soft=False)))
+    s = s.withColumn("emb", semantic.hash_embed(F.col("tokens"))).persist()
     n = s.groupBy("video_id").agg(F.expr("count(1) div 2").cast("int").alias("mid"))
     mid = s.join(n, "video_id").where("sent_idx = mid")
     return s, mid.select("video_id", F.col("text").alias("title"), F.col("emb").alias("title_emb"))
@@ -37,7 +37,6 @@ def promise_check(spark, sf):
 
 def promise_ledger(spark, sf):
     s, titles = script_lines(spark, sf)
-    s = s.persist()
     out = pr.promise_ledger(s, pr.promise_check(titles, s))
     return out.select("video_id", "sent_idx", "source", "made_at", "made_end", "payoff_at", "similarity", "delay_s", "status")
 

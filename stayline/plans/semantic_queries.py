@@ -14,8 +14,8 @@ def _r(c, n=6):
 
 def split_long(spark, sf):
     """Sentences cut at paragraph and sentence marks only, so long ones exist."""
-    w = sen.word_sentences(tq.words(spark, sf), soft=False)
-    return seg.split_long(w).select("video_id", "sent_idx", "piece", "word_start", "word_end", "start", "end", "boundary")
+    s = sen.sentences_with_words(tq.words(spark, sf), soft=False)
+    return seg.split_long(s).select("video_id", "sent_idx", "piece", "word_start", "word_end", "start", "end", "boundary")
 
 
 def speech_runs(spark, sf):
@@ -37,9 +37,7 @@ def pack_windows(spark, sf):
 
 
 def script_segments(spark, sf):
-    worded = sen.word_sentences(tq.words(spark, sf))
-    videos = worded.groupBy("video_id").agg(F.round(F.max("end") + 0.5, 3).alias("duration_s"))
-    return seg.tile_segments(worded, videos)
+    return seg.tile_segments(sen.sentences_with_words(tq.words(spark, sf)))
 
 
 def tile_segments(spark, sf):
@@ -79,7 +77,7 @@ def cosine(spark, sf):
 def script_items(spark, sf):
     """Script sentences as items for matching: vectors from hashed words."""
     w, tiles, s = tq.script_sentences(spark, sf)
-    items = s.select("video_id", F.col("sent_idx").alias("idx"), "start", "end", "eligible", op.hash_embed(F.col("tokens")).alias("emb"))
+    items = s.select("video_id", F.col("sent_idx").alias("idx"), "start", "end", "eligible", op.dims(F.col("tokens")).alias("dims"))
     return w, s, items
 
 

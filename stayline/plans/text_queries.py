@@ -39,7 +39,7 @@ def join_tokens(spark, sf):
 
 
 def build_sentences_context_free(spark, sf):
-    return sen.sentence_table(sen.word_sentences(words(spark, sf), soft=False))
+    return sen.sentence_table(sen.sentences_with_words(words(spark, sf), soft=False))
 
 
 def build_sentences(spark, sf):
@@ -74,10 +74,10 @@ def number_claims(spark, sf):
 
 def script_sentences(spark, sf):
     """Sentences of every script with features and the tile that holds their last word."""
-    w = words(spark, sf)
+    w = words(spark, sf).persist()  # read by the tiles, the sentences and the word-level features
     tiles = v.word_tiles(w)
-    sents = sen.sentence_table(sen.word_sentences(w, soft=False))
-    return w, tiles, op.sentence_to_segment(op.sentence_features(sents), tiles)
+    sents = op.sentence_features(sen.sentence_table(sen.sentences_with_words(w, soft=False)))
+    return w, tiles, op.sentence_to_segment(sents.persist(), tiles)
 
 
 def sentence_to_segment(spark, sf):
