@@ -124,7 +124,8 @@ def segment_repetition(items: DataFrame, gap_s: float = MIN_GAP_S, threshold: fl
 
 def sentence_matches(items: DataFrame, gap_s: float = MIN_GAP_S, threshold: float = MATCH_THRESHOLD) -> DataFrame:
     """Sentences with a match at or above the threshold."""
-    return best_earlier(items, gap_s, threshold).where(F.col("sim") >= threshold).select("video_id", "idx", "match", "sim")
+    # the others can neither match nor be matched, so they are not shuffled
+    return best_earlier(items.where("eligible"), gap_s, threshold).where(F.col("sim") >= threshold).select("video_id", "idx", "match", "sim")
 
 
 def novelty(items: DataFrame) -> DataFrame:

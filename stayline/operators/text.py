@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from stayline.functions import lexicon as lex
 from stayline.functions.textcols import (
-    fillers, has_number_claim, is_question, ratio, repeated_words, strs, tokens,
+    fillers, has_number_claim, is_question, ratio, repeated_words, tokens,
 )
 
 # Fixed values
@@ -36,20 +36,21 @@ def sentence_features(sentences: DataFrame) -> DataFrame:
 def phrase_occurrences(sents: DataFrame) -> DataFrame:
     """(video_id, sent_idx, pos, phrase): word trigrams inside a sentence without fillers and
     with at most one stopword. Row-local."""
-    stop, fill = strs(lex.flat(lex.STOPWORDS)), strs(lex.flat(lex.FILLER_WORDS))
+    # a filler outweighs the limit, a stopword counts one: a trigram is kept by its weight
+    fill, stop = lex.flat(lex.FILLER_WORDS), lex.flat(lex.STOPWORDS)
+    weight = F.transform("tokens", lambda t: F.when(t.isin(fill), MAX_STOPWORDS + 1).when(t.isin(stop), 1).otherwise(0))
+    x = sents.select("video_id", "sent_idx", "tokens", weight.alias("_w"))
     last = F.size("tokens") - NGRAM
     at = F.when(last >= 0, F.sequence(F.lit(0), last))
-    grams = F.transform(
-        at, lambda i: F.struct(i.alias("pos"), F.slice("tokens", i + 1, F.lit(NGRAM)).alias("g"))
-    )
-    kept = F.filter(
-        grams,
-        lambda x: ~F.arrays_overlap(x["g"], fill)
-        & (F.size(F.filter(x["g"], lambda t: F.array_contains(stop, t))) <= MAX_STOPWORDS),
-    )
-    return sents.select("video_id", "sent_idx", F.explode(kept).alias("x")).select(
-        "video_id", "sent_idx", F.col("x.pos").alias("pos"), F.array_join("x.g", " ").alias("phrase")
+
+    def total(i: Column) -> Column:
+        return F.get("_w", i) + F.get("_w", i + 1) + F.get("_w", i + 2)
+
+    kept = F.transform(
+        F.filter(at, lambda i: total(i) <= MAX_STOPWORDS),
+        lambda i: F.struct(i.alias("pos"), F.concat_ws(" ", F.get("tokens", i), F.get("tokens", i + 1), F.get("tokens", i + 2)).alias("phrase")),
     )
+    return x.select("video_id", "sent_idx", F.explode(kept).alias("x")).select("video_id", "sent_idx", "x.pos", "x.phrase")
 
 
 def ranked_occurrences(occ: DataFrame) -> DataFrame:

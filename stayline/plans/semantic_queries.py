@@ -75,14 +75,13 @@ def cosine(spark, sf):
 
 
 def script_items(spark, sf):
-    """Script sentences as items for matching: vectors from hashed words."""
-    w, tiles, s = tq.script_sentences(spark, sf)
-    items = s.select("video_id", F.col("sent_idx").alias("idx"), "start", "end", "eligible", op.dims(F.col("tokens")).alias("dims"))
-    return w, s, items
+    """Script sentences as items for matching: hashed words as token buckets."""
+    s = tq.plain_sentences(spark, sf)
+    return s, s.select("video_id", F.col("sent_idx").alias("idx"), "start", "end", "eligible", op.dims(F.col("tokens")).alias("dims"))
 
 
 def sentence_matches(spark, sf):
-    return op.sentence_matches(script_items(spark, sf)[2]).select("video_id", "idx", "match", _r("sim"))
+    return op.sentence_matches(script_items(spark, sf)[1]).select("video_id", "idx", "match", _r("sim"))
 
 
 def segment_repetition(spark, sf):
@@ -91,8 +90,8 @@ def segment_repetition(spark, sf):
 
 
 def repeated_sentence_ratio(spark, sf):
-    w, s, items = script_items(spark, sf)
-    placed = v.tile_words(sen.word_sentences(w, soft=False))
+    s, items = script_items(spark, sf)
+    placed = v.tile_words(sen.word_sentences(tq.words(spark, sf), soft=False))
     out = op.repeated_sentences(placed, s, op.sentence_matches(items))
     return out.select("video_id", "idx", "repeated_sentence_ratio", F.size("repetition_matches").alias("n_matches"),
                       F.get("repetition_matches", F.lit(0))["similarity"].alias("top_similarity"))

@@ -72,6 +72,13 @@ def number_claims(spark, sf):
     return _turn_features(spark, sf).select("video_id", "sent_idx", "has_claim")
 
 
+def plain_sentences(spark, sf):
+    """Sentences of every script with their tokens only."""
+    s = sen.sentence_table(sen.sentences_with_words(words(spark, sf), soft=False))
+    s = s.withColumn("tokens", tc.tokens(F.col("text"))).withColumn("eligible", F.size("tokens") >= op.MIN_SENTENCE_WORDS)
+    return s.select("video_id", "sent_idx", "start", "end", "tokens", "eligible").persist()
+
+
 def script_sentences(spark, sf):
     """Sentences of every script with features and the tile that holds their last word."""
     w = words(spark, sf).persist()  # read by the tiles, the sentences and the word-level features
@@ -94,18 +101,18 @@ def pauses(spark, sf):
 
 
 def phrase_occurrences(spark, sf):
-    return op.phrase_occurrences(script_sentences(spark, sf)[2])
+    return op.phrase_occurrences(plain_sentences(spark, sf))
 
 
 def repeated_phrases(spark, sf):
-    occ = op.phrase_occurrences(script_sentences(spark, sf)[2])
+    occ = op.phrase_occurrences(plain_sentences(spark, sf))
     return op.repeated_phrases(occ).select(
         "video_id", "phrase", "count", "rank", F.col("first.sent_idx").alias("first_sent"), F.col("first.pos").alias("first_pos")
     )
 
 
 def phrase_stats(spark, sf):
-    sents = script_sentences(spark, sf)[2]
+    sents = plain_sentences(spark, sf)
     return op.phrase_stats(op.phrase_occurrences(sents), sents)
 
 
