@@ -2,7 +2,8 @@
 puts them together, numbers them and attaches evidence.
 
 ``segs`` is one row per segment with its text features, risk and audio / picture features.
-Per-video windows hold one timeline."""
+Per-video windows hold one timeline. The titles, explanations, labels and reasons below are fixed
+values, like the thresholds."""
 
 from __future__ import annotations
 
