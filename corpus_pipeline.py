@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stayline.llm import language, lines, mixing, near, packing
-from stayline.llm.common import shared_folder, table
+from stayline.llm.common import shared_folder, table, with_row
 from stayline.llm.queries import tokenizer_path
 
 #: an ambiguous document goes only if no codeword is nearer than this
@@ -21,30 +21,29 @@ REJECT_LOSS = 0.75
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learned language; those without a letter, or near to no codeword, go."""
     model = language.train(language.not_held_out(docs))
-    known = language.identify(docs, model).where(
-        (F.col("_language.lang_pred") != "und") & ~(F.col("_language.ambiguous") & (F.col("_language.loss") >= REJECT_LOSS))
-    )
-    return known.select(docs.columns)
+    known = language.identify(with_row(docs, "text"), model, "row")
+    far = F.col("ambiguous") & (F.col("loss") >= REJECT_LOSS)
+    return known.where((F.col("lang_pred") != "und") & ~far).select("row.*")
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines seen earlier; one that loses all its lines goes, one that was blank stays."""
-    got = lines.drop_lines(docs).where("_n_dropped = 0 OR trim(regexp_replace(_kept, '\\\\s', ' ')) <> ''")
-    got = got.withColumn("text", F.col("_kept"))
+    got = lines.drop_lines(with_row(docs, "doc_id", "text")).where(r"_n_dropped = 0 OR _kept RLIKE '\\S'")
+    fresh = {"text": F.col("_kept")}
     if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        got = got.withColumn("n_chars", F.when(F.col("_n_dropped") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return got.select(docs.columns)
+        length = F.length("_kept").cast(docs.schema["n_chars"].dataType)
+        fresh["n_chars"] = F.when(F.col("_n_dropped") > 0, length).otherwise(F.col("row.n_chars"))
+    return got.select(*[fresh.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    return near.keep_first(docs).select(docs.columns)
+    return near.keep_first(with_row(docs, "doc_id", "text")).select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, ordered so that the sources come at their target weights."""
-    return mixing.mixed(docs).select(docs.columns)
+    return mixing.mixed(with_row(docs, "doc_id", "source")).select("row.*")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

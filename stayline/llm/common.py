@@ -84,3 +84,19 @@ def components(edges: DataFrame) -> DataFrame:
         e = reliable(small.union(least.select("u", F.col("m").alias("v"))).distinct())
     stars = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def slices(batches, rows: int = 500):
+    """Arrow batches cut so small that a Python worker holds few texts at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def texts_of(batch, column: str = "text") -> list[str]:
+    return [t or "" for t in batch.column(column).to_pylist()]
+
+
+def with_row(docs: DataFrame, *needed: str) -> DataFrame:
+    """All columns as one struct `row` beside those needed, so that no name of theirs can clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *needed)

@@ -17,7 +17,11 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructType
+
+from stayline.llm.common import slices, texts_of
 
 BITS = 12  # of the hashed n-gram space
 #: learned rows per language: an expected number, drawn by a hash of the id
@@ -27,7 +31,6 @@ RIDGE = 0.02
 GROUP_DOCS, GROUP_CHARS = 256, 1 << 20
 SHARPNESS = 8.0
 CLOSE = 0.05
-RESULT = "lang_pred string, score double, ambiguous boolean, loss double"
 
 
 @cache
@@ -138,14 +141,19 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> dict:
     return fit(drawn["text"].tolist(), drawn["lang"].tolist())
 
 
-def identify(docs: DataFrame, model: dict, column: str = "text") -> DataFrame:
-    """docs with a struct column `_language` (lang_pred, score, ambiguous, loss)."""
+def identify(docs: DataFrame, model: dict, *keep: str) -> DataFrame:
+    """The columns to keep of docs, with lang_pred, score, ambiguous and loss of its column text."""
 
-    @F.pandas_udf(RESULT)
-    def predicted(texts: pd.Series) -> pd.DataFrame:
-        return decode(model, [t if isinstance(t, str) else "" for t in texts])
+    def rows(batches):
+        for batch in slices(batches):
+            found = decode(model, texts_of(batch))
+            columns = [batch.column(c) for c in keep] + [pa.array(found[c]) for c in found.columns]
+            yield pa.RecordBatch.from_arrays(columns, names=[*keep, *found.columns])
 
-    return docs.withColumn("_language", predicted(column))
+    kinds = StructType([docs.schema[c] for c in keep])
+    for name, kind in (("lang_pred", StringType()), ("score", DoubleType()), ("ambiguous", BooleanType()), ("loss", DoubleType())):
+        kinds.add(name, kind)
+    return docs.select(*keep, "text").mapInArrow(rows, kinds)
 
 
 def not_held_out(docs: DataFrame) -> DataFrame:

@@ -19,9 +19,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from stayline.llm.common import components, maybe_broadcast, reliable
+from stayline.llm.common import components, maybe_broadcast, reliable, slices, texts_of
 
 WORDS = 5
 #: similarity as a fraction of 100
@@ -129,23 +130,24 @@ def measured(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, same, bands): the size, key and band hashes of each document's set."""
 
     def rows(batches):
-        for pdf in batches:
-            for at in range(0, len(pdf), 1000):
-                part = pdf.iloc[at : at + 1000]
-                sets = shingle_sets([t if isinstance(t, str) else "" for t in part["text"]])
-                full = [i for i, s in enumerate(sets) if len(s)]
-                bands = np.empty(len(sets), object)
-                if full:
-                    got = sketches([sets[i] for i in full], BANDS * ROWS).reshape(len(full), BANDS, ROWS)
-                    key = np.zeros((len(full), BANDS), U)
-                    for k in range(ROWS):
-                        key = mixed(key + got[:, :, k], 20 + k)
-                    key = mixed(key + np.arange(BANDS, dtype=U), 30).view(np.int64)
-                    for i, k in zip(full, key):
-                        bands[i] = k
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "n_shingles": [len(s) for s in sets], "same": [set_key(s) for s in sets], "bands": bands})
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(rows, "doc_id long, n_shingles long, same binary, bands array<long>")
+        for batch in slices(batches):
+            sets = shingle_sets(texts_of(batch))
+            full = [i for i, s in enumerate(sets) if len(s)]
+            bands: list = [None] * len(sets)
+            if full:
+                got = sketches([sets[i] for i in full], BANDS * ROWS).reshape(len(full), BANDS, ROWS)
+                key = np.zeros((len(full), BANDS), U)
+                for k in range(ROWS):
+                    key = mixed(key + got[:, :, k], 20 + k)
+                key = mixed(key + np.arange(BANDS, dtype=U), 30).view(np.int64)
+                for i, k in zip(full, key):
+                    bands[i] = k
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                names=["doc_id", "n_shingles", "same", "bands"],
+            )
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, "doc_id long, n_shingles long, same binary, bands array<long>")
 
 
 def linked(ids: np.ndarray, sets: list[np.ndarray], alike: int = ALIKE) -> list[tuple[int, int]]:
@@ -199,12 +201,12 @@ def verified(docs: DataFrame, members: DataFrame) -> DataFrame:
     names = maybe_broadcast(reliable(members.select("doc_id").distinct()), 16)
 
     def sets(batches):
-        for pdf in batches:
-            got = shingle_sets([t if isinstance(t, str) else "" for t in pdf["text"]])
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "items": [s.tobytes() for s in got]})
+        for batch in slices(batches):
+            found = [s.tobytes() for s in shingle_sets(texts_of(batch))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.binary())], names=["doc_id", "items"])
 
     few = docs.select(F.col("doc_id").cast("long"), "text").join(names, "doc_id").dropDuplicates(["doc_id"])
-    held = few.mapInPandas(sets, "doc_id long, items binary").join(members, "doc_id")
+    held = few.mapInArrow(sets, "doc_id long, items binary").join(members, "doc_id")
 
     def compare(pdf):
         pdf = pdf.sort_values("doc_id")

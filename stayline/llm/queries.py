@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stayline.llm import language, lines, mixing, near, packing
+from stayline.llm import fingerprint, html, language, lines, mixing, near, packing, substrings, toxicity, vectors
 from stayline.llm.common import table
 
 
@@ -18,11 +18,40 @@ def op1_language_id(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
     model = language.train(language.not_held_out(docs))
     held_out = F.expr("crc32(cast(doc_id AS string)) % 3 = 1").alias("held_out")
-    return language.identify(docs.select("doc_id", "text"), model).select(
-        "doc_id", held_out, "_language.lang_pred", "_language.score", "_language.ambiguous"
+    return language.identify(docs, model, "doc_id").select("doc_id", held_out, "lang_pred", "score", "ambiguous")
+
+
+def op2_document_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    return fingerprint.fingerprints(table(spark, sf, "documents"))
+
+
+def op3_suffix_array_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return substrings.drop_repeats(table(spark, sf, "documents"))
+
+
+def op4_embedding_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf, "embeddings"))
+
+
+def op5_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    labels = table(spark, sf, "labels").where("crc32(cast(doc_id AS string)) % 4 <> 2").select("doc_id", "toxic")
+    model = toxicity.train(docs.join(labels, "doc_id"))
+    got = toxicity.scored(docs, model)
+    return got.select(
+        "doc_id",
+        F.expr("crc32(cast(doc_id AS string)) % 4 = 2").alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"),
     )
 
 
+def op6_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    pages = table(spark, sf, "pages")
+    got = html.extracted(pages, html.train(pages))
+    return got.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op7_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     got = lines.drop_lines(table(spark, sf, "documents").select("doc_id", "text"))
     return got.select(
@@ -54,5 +83,8 @@ def pipeline(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_language_id, op7_line_dedup, op8_minhash_near_dedup, op9_best_fit_packing, op10_source_mixing, pipeline)
-}
+    for f in (
+        op1_language_id, op2_document_fingerprints, op3_suffix_array_dedup, op4_embedding_near_dedup, op5_toxicity, op6_html_extraction,
+        op7_line_dedup, op8_minhash_near_dedup, op9_best_fit_packing, op10_source_mixing, pipeline,
+    )
+}

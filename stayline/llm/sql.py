@@ -1,5 +1,49 @@
 """DuckDB SQL of the registered queries, where SQL can express them; literals stand here on their own."""
 
+#: bytes as pairs of hex digits; a string of 50 bytes is 100 digits
+OP3 = r"""
+with raw as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+sized as (select doc_id, h, length(h) // 2 as n from raw),
+starts as (
+  select doc_id, u.s as s, substr(h, 2 * u.s + 1, 100) as w
+  from (select * from sized where n >= 50) d, lateral (select unnest(range(0, d.n - 49)) as s) u
+),
+firsts as (select w, min(doc_id) as f from starts group by w having min(doc_id) < max(doc_id)),
+hits as (select s.doc_id, s.s from starts s join firsts f on s.w = f.w where f.f < s.doc_id),
+gone as (select distinct doc_id, s + u.k as b from hits, lateral (select unnest(range(0, 50)) as k) u),
+tops as (select doc_id, b, lag(b) over (partition by doc_id order by b) as before from gone),
+spans as (
+  select doc_id, b, sum(case when before is null or before < b - 1 then 1 else 0 end) over (partition by doc_id order by b) as g from tops
+),
+ranges as (select doc_id, g, min(b) as a, max(b) + 1 as z from spans group by doc_id, g),
+parts as (
+  select doc_id, a, coalesce(lag(z) over (partition by doc_id order by a), 0) as before, z from ranges
+),
+kept as (
+  select p.doc_id, string_agg(substr(s.h, 2 * p.before + 1, 2 * (p.a - p.before)), '' order by p.a)
+    || substr(any_value(s.h), 2 * max(p.z) + 1) as h, count(*) as spans, sum(p.z - p.a) as removed
+  from parts p join sized s on s.doc_id = p.doc_id group by p.doc_id
+)
+select s.doc_id, s.n as n_bytes, coalesce(k.removed, 0)::bigint as n_removed, coalesce(k.spans, 0) as n_spans,
+  sha256(unhex(coalesce(k.h, s.h))) as kept_sha256
+from sized s left join kept k on k.doc_id = s.doc_id
+"""
+
+OP4 = r"""
+with recursive v as (
+  select vec_id, label, embedding::double[] as e, label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0 as ok
+  from embeddings
+),
+links as (
+  select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.ok and b.ok and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+  where list_cosine_similarity(a.e, b.e) >= 0.98
+),
+reach(vec_id, r) as (select vec_id, vec_id from v union select reach.vec_id, l.b from reach join links l on l.a = reach.r)
+select r.vec_id, (select count(*) from links l where l.a = r.vec_id) as n_links, min(r.r) as component_id, r.vec_id = min(r.r) as kept
+from reach r group by r.vec_id
+"""
+
 OP7 = r"""
 with places as (
   select coalesce(doc_id, -9223372036854775808) as doc, u.pos - 1 as pos, u.line as line
@@ -90,4 +134,4 @@ select d.doc_id, d.source, (d.r // 8) // h.a * h.q + o.t as mix_slot, (d.r % 8):
 from ranked d join shares h on h.s = d.s join round_of o on o.s = d.s and o.k = (d.r // 8) % h.a
 """
 
-SQL = {"op7_line_dedup": OP7, "op8_minhash_near_dedup": OP8, "op10_source_mixing": OP10}
+SQL = {"op3_suffix_array_dedup": OP3, "op4_embedding_near_dedup": OP4, "op7_line_dedup": OP7, "op8_minhash_near_dedup": OP8, "op10_source_mixing": OP10}
