@@ -12,38 +12,53 @@ doc_id and text are ignored. An empty table gives an empty result.
 
 from __future__ import annotations
 
-import os
 import re
 import zlib
 from bisect import bisect_left, bisect_right
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from stayline.llm.common import reliable, spread_rank
+from stayline.llm.common import reliable, slices, spread_rank, texts_of
 
 CAPACITY = 2048
 #: steps of the search for a packing better than the incumbent, and fillings kept around one piece
 STEPS = 40_000
 FILLINGS = 50
 #: distinct words whose ids a Python worker keeps
-WORDS_KEPT = 1_000_000
+WORDS_KEPT = 250_000
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
+#: how byte-level vocabularies of this kind divide a text (fixed value), and the id of a newline there
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+NEWLINE_ID = 198
 
 _kept: dict[str, tuple] = {}
 _AFTER_BLANK = re.compile(r"\s ")
 
 
-def tokenizer(path: str):
-    """The worker's tokenizer of a file and its table of words seen."""
+def byte_letters() -> dict[str, int]:
+    """The characters that stand for bytes in a byte-level vocabulary: printable ones as they are, the rest from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+def encoder(path: str) -> tuple:
+    """The worker's encoder of a tokenizer file and its table of words seen.
+
+    The vocabulary is read by tokenizers; its ids, which are the merge order, go to the faster merge loop of
+    tiktoken, which gives the same ids (the tests compare both).
+    """
     if path not in _kept:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
         from tokenizers import Tokenizer
 
-        tok = Tokenizer.from_file(path)
-        tok.encode_special_tokens = True
-        _kept[path] = (tok, {})
+        of = byte_letters()
+        special = {t.content for t in Tokenizer.from_file(path).get_added_tokens_decoder().values()}
+        words = {w: i for w, i in Tokenizer.from_file(path).get_vocab().items() if w not in special}
+        ranks = {bytes(of[c] for c in w): i for w, i in words.items()}
+        _kept[path] = (tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), {})
     return _kept[path]
 
 
@@ -53,7 +68,7 @@ def token_bytes(texts: list[str], path: str) -> list[bytes]:
     Byte-level pre-tokenization never joins what a space after a non-blank divides, so a text's ids
     are its words' ids in a row; words are looked up, and new ones of all texts encoded together.
     """
-    tok, known = tokenizer(path)
+    enc, known = encoder(path)
     if len(known) > WORDS_KEPT:
         known.clear()
     split = []
@@ -61,31 +76,19 @@ def token_bytes(texts: list[str], path: str) -> list[bytes]:
         if _AFTER_BLANK.search(text) or text[:1] == " ":
             split.append([text])  # runs of blanks: as a whole
         else:
-            first, *rest = text.split(" ")
-            split.append([first, *[" " + w for w in rest]])
-    words = dict.fromkeys(w for parts in split for w in parts if w not in known)
-    plain = [w for w in words if "\n" not in w and w[:1] == " " and len(w) > 1]
-    for i in range(0, len(plain), 4000):
-        some = plain[i : i + 4000]
-        ids = np.array(tok.encode("\n".join(some), add_special_tokens=False).ids, "<u4")
-        cut = np.flatnonzero(ids == NEWLINE_ID)
-        if len(cut) != len(some) - 1:
-            for w in some:
-                known[w] = np.array(tok.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
-            continue
-        raw, at = ids.tobytes(), 0
-        for w, c in zip(some, [*cut.tolist(), len(ids)]):
-            known[w] = raw[4 * at : 4 * c]
-            at = c + 1
-    other = [w for w in words if w not in known]
-    own = {}
-    for w, e in zip(other, tok.encode_batch_fast(other, add_special_tokens=False)):
-        (known if len(w) < 64 else own)[w] = np.array(e.ids, "<u4").tobytes()
-    return [b"".join([known[w] if w in known else own[w] for w in parts]) for parts in split]
-
-
-#: id of the newline in the byte-level vocabulary (fixed value of the tokenizer file)
-NEWLINE_ID = 198
+            split.append(text.replace(" ", "\0 ").split("\0") if "\0" not in text else [text])
+    whole: dict[str, bytes] = {}
+    new = {w for parts in split for w in parts}.difference(known)
+    plain = [w for w in new if "\n" not in w and w[:1] == " " and 1 < len(w) < 64]
+    ids = np.array(enc.encode_ordinary("\n".join(plain)), "<u4")
+    cut = np.flatnonzero(ids == NEWLINE_ID)
+    if len(cut) == len(plain) - 1:
+        raw = ids.tobytes()
+        for w, a, b in zip(plain, [0, *(cut + 1).tolist()], [*cut.tolist(), len(ids)]):
+            known[w] = raw[4 * a : 4 * b]
+    for w in new.difference(known):
+        (known if len(w) < 64 else whole)[w] = np.array(enc.encode_ordinary(w), "<u4").tobytes()
+    return [b"".join([known[w] if w in known else whole[w] for w in parts]) for parts in split]
 
 
 def cut_pieces(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -98,18 +101,16 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each document with an end token, cut to capacity."""
 
     def rows(batches):
-        for pdf in batches:
-            for at in range(0, len(pdf), 500):
-                part = pdf.iloc[at : at + 500]
-                out = []
-                raws = token_bytes([t if isinstance(t, str) else "" for t in part["text"]], path)
-                for doc, raw in zip(part["doc_id"].tolist(), raws):
-                    raw += b"\0\0\0\0"
-                    for k, (start, length) in enumerate(cut_pieces(len(raw) // 4, capacity)):
-                        out.append((doc, k, start, length, zlib.crc32(raw[4 * start : 4 * (start + length)])))
-                yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(rows, PIECE)
+        for batch in slices(batches):
+            out = []
+            for doc, raw in zip(batch.column("doc_id").to_pylist(), token_bytes(texts_of(batch), path)):
+                raw += b"\0\0\0\0"
+                for k, (start, length) in enumerate(cut_pieces(len(raw) // 4, capacity)):
+                    out.append((doc, k, start, length, zlib.crc32(raw[4 * start : 4 * (start + length)])))
+            columns = [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, PIECE)
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
