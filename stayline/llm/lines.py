@@ -4,12 +4,12 @@ A line goes if the same line, or one within one edit (a character inserted, dele
 occurs at an earlier place, a place being (doc_id, line number). Places are judged on the input, so the
 result does not depend on an order of removal.
 
-Lines become 128-bit hashes at once; repeated lines meet map-side. Two lines within one edit share an
-unchanged half (cut by the length of the shorter), so only lines that share a half with another emit their
-variants: each deletion in the other half, as a hashed key. Lines of equal length that share the variant
-of one position differ there alone; a variant that equals a whole line is one deletion away from it. So the
-earliest line of a key is all that the others need, however many share it, and edit distance is verified on
-the texts of these pairs.
+Lines become hashes at once; repeated lines meet map-side. Two lines within one edit share an unchanged half
+(cut by the length of the shorter), so only lines that share a half with another emit their variants: each
+deletion in the other half, as a hashed key. Lines of equal length that share the variant of one position
+differ there alone; a variant that equals a whole line is one deletion away from it. So the earliest line of
+a key is all that the others need, however many share it, and edit distance is verified on the texts of
+these pairs.
 
 Null texts have no lines; blank lines stay and are never counted as copies. Lines under `shortest` characters
 only go as equal copies. Rows with equal doc_id are one document: they never remove each other's line of the
@@ -31,7 +31,7 @@ def line_places(docs: DataFrame) -> DataFrame:
     """(doc, pos, line): every line that is not blank."""
     return docs.select(
         F.coalesce(F.col("doc_id").cast("long"), FIRST_ID).alias("doc"), F.posexplode(F.split("text", "\n")).alias("pos", "line")
-    ).where(F.trim(F.regexp_replace("line", r"\s", " ")) != "")
+    ).where(F.col("line").rlike(r"\S"))
 
 
 def hashed(places: DataFrame) -> DataFrame:
@@ -39,51 +39,41 @@ def hashed(places: DataFrame) -> DataFrame:
     return places.withColumn("h", F.xxhash64("line")).withColumn("g", F.xxhash64(F.lit("g"), F.col("line")))
 
 
-def distinct_lines(places: DataFrame) -> DataFrame:
-    """Each line once: hashes, first place, occurrences, length, and hashes of its halves.
+def sharing_halves(places: DataFrame, shortest: int) -> DataFrame:
+    """(h, mask): lines, by their first hash, that share a half with another; mask says which and as what.
 
-    `x` and `y` are the halves of the line, `x1` and `y1` what a line shorter by one would have there.
+    A half's key holds its side, its hash and the length of the line it halves: the own length, or (as the longer
+    of two) one less. The own half of one line equal to that of another: equal lengths, a character may be replaced
+    (1 left, 2 right). Equal to one cut as the longer: a character may be missing (4 the shorter; 8 left, 16 right
+    the longer).
     """
     n = F.length("line")
-    shorter = n - 1
     half = lambda length: F.floor(length / 2).cast("int")
     right = lambda length: F.xxhash64(F.substring(F.col("line"), n - (length - half(length)) + 1, n))
-    return (
-        hashed(places)
-        .select(
-            "doc", "pos", "h", "g", n.alias("n"),
-            F.xxhash64(F.substring(F.col("line"), F.lit(1), half(n))).alias("x"), right(n).alias("y"),
-            F.xxhash64(F.substring(F.col("line"), F.lit(1), half(shorter))).alias("x1"), right(shorter).alias("y1"),
-        )
-        .groupBy("h", "g")
-        .agg(
-            F.min(F.struct("doc", "pos")).alias("first"), F.max(F.struct("doc", "pos")).alias("last"),
-            *[F.min(c).alias(c) for c in ("n", "x", "y", "x1", "y1")],
-        )
-    )
-
-
-#: what a half key says: bit, kind (S: equal lengths; D: lengths differ by one), side, column, length, role
-HALVES = [
-    (1, "S", "x", "x", "n", 0), (2, "S", "y", "y", "n", 0), (4, "D", "x", "x", "n", 1), (8, "D", "y", "y", "n", 1),
-    (16, "D", "x", "x1", "n - 1", 2), (32, "D", "y", "y1", "n - 1", 2),
-]
-
-
-def sharing_halves(lines: DataFrame, shortest: int) -> DataFrame:
-    """(h, g, first, n, mask): lines that share a half with another; mask says which and as what."""
+    left = lambda length: F.xxhash64(F.substring(F.col("line"), F.lit(1), half(length)))
+    lines = (
+        places.where(n >= shortest)
+        .select(F.xxhash64("line").alias("h"), n.alias("n"), left(n).alias("x"), right(n).alias("y"), left(n - 1).alias("x1"), right(n - 1).alias("y1"))
+        .dropDuplicates(["h"])
+    )
+    key = lambda side, of, length: F.xxhash64(F.lit(side), F.col(of), F.expr(length))
     keys = [
-        F.struct(F.xxhash64(F.lit(kind), F.lit(side), F.expr(length), F.col(column)).alias("key"), F.lit(bit).alias("bit"), F.lit(role).alias("role"))
-        for bit, kind, side, column, length, role in HALVES
+        F.struct(key(side, of, length).alias("key"), F.lit(role).cast("tinyint").alias("role"))
+        for role, (side, of, length) in enumerate([("x", "x", "n"), ("y", "y", "n"), ("x", "x1", "n - 1"), ("y", "y1", "n - 1")])
     ]
-    rows = lines.where(F.col("n") >= shortest).select("h", "g", "first", "n", F.inline(F.array(*keys)))
+    rows = lines.select("h", F.inline(F.array(*keys)))
+    own = F.when(F.col("role") < 2, F.col("h"))
     shared = (
         rows.groupBy("key")
-        .agg(F.min("h").alias("a"), F.max("h").alias("b"), F.min("role").alias("low"), F.max("role").alias("high"))
-        .where("a <> b AND (low = 0 OR low < high)")
-        .select("key")
+        .agg(F.min(own).alias("a"), F.max(own).alias("b"), F.max("role").alias("high"))
+        .where("a <> b OR (a IS NOT NULL AND high > 1)")
+        .select("key", F.expr("a <> b").alias("equal"), (F.col("high") > 1).alias("unequal"))
+    )
+    bit = (
+        F.when(F.col("role") > 1, F.when(F.col("role") == 2, 8).otherwise(16))
+        .otherwise(F.when(F.col("equal"), F.col("role") + 1).otherwise(0) + F.when(F.col("unequal"), 4).otherwise(0))
     )
-    return rows.join(shared, "key").groupBy("h", "g").agg(F.min("first").alias("first"), F.min("n").alias("n"), F.bit_or("bit").alias("mask"))
+    return rows.join(shared, "key").select("h", bit.cast("int").alias("bit")).groupBy("h").agg(F.bit_or("bit").alias("mask"))
 
 
 def without(i: Column) -> Column:
@@ -102,17 +92,23 @@ def variants(lines: DataFrame) -> DataFrame:
     same = lambda a, b: F.transform(span(a, b), lambda i: F.xxhash64(F.lit("S"), F.col("n"), i, without(i)))
     less = lambda a, b: F.transform(span(a, b), lambda i: F.xxhash64(F.lit("D"), without(i)))
     alike = F.concat(F.when(has(1), same(cut, n - 1)).otherwise(none), F.when(has(2), same(zero, cut - 1)).otherwise(none))
-    longer = F.concat(F.when(has(16), less(cut1, n - 1)).otherwise(none), F.when(has(32), less(zero, cut1)).otherwise(none))
-    itself = F.when(has(12), F.array(F.xxhash64(F.lit("D"), F.col("line")))).otherwise(none)
+    longer = F.concat(F.when(has(8), less(cut1, n - 1)).otherwise(none), F.when(has(16), less(zero, cut1)).otherwise(none))
+    itself = F.when(has(4), F.array(F.xxhash64(F.lit("D"), F.col("line")))).otherwise(none)
     out = [lines.select(F.explode(keys).alias("key"), F.lit(role).alias("role"), "h", "g", "first") for role, keys in ((0, alike), (1, itself), (2, F.array_distinct(longer)))]
     return out[0].union(out[1]).union(out[2])
 
 
-def near_lines(docs: DataFrame, lines: DataFrame, shortest: int = SHORTEST) -> DataFrame:
+def near_lines(docs: DataFrame, shortest: int = SHORTEST) -> DataFrame:
     """(h, g): lines that have an earlier line within one edit."""
-    some = reliable(sharing_halves(lines, shortest))
-    wanted = maybe_broadcast(some.select("h", "g", "first.doc", "first.pos", "first", "n", "mask"), 80)
-    texts = reliable(hashed(line_places(docs)).join(wanted, ["h", "g", "doc", "pos"]).dropDuplicates(["h", "g"]))
+    places = line_places(docs)
+    wanted = maybe_broadcast(reliable(sharing_halves(places, shortest)), 24)
+    texts = reliable(
+        hashed(places)
+        .join(wanted, "h")
+        .groupBy("h", "g", "mask")
+        .agg(F.min(F.struct("doc", "pos")).alias("first"), F.any_value("line").alias("line"))
+        .withColumn("n", F.length("line"))
+    )
     rows = variants(texts)
     who = F.struct(F.col("first"), F.col("h"), F.col("g"))
     earliest = rows.groupBy("key").agg(*[F.min(F.when(F.col("role") == r, who)).alias(f"m{r}") for r in range(3)])
@@ -132,13 +128,13 @@ def near_lines(docs: DataFrame, lines: DataFrame, shortest: int = SHORTEST) -> D
 
 def dropped_lines(docs: DataFrame, shortest: int = SHORTEST) -> DataFrame:
     """(doc, gone): the numbers of the lines that each document loses, checkpointed."""
-    places = line_places(docs)
-    lines = distinct_lines(places)
-    near = reliable(near_lines(docs, lines, shortest).withColumn("near", F.lit(True)))
-    repeated = lines.where("last > first").select("h", "g", "first")
+    places = hashed(line_places(docs)).drop("line")
+    near = reliable(near_lines(docs, shortest).withColumn("near", F.lit(True)))
+    place = F.struct("doc", "pos")
+    repeated = places.groupBy("h", "g").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("last > first").drop("last")
     losing = repeated.join(near, ["h", "g"], "full").select("h", "g", "first", F.coalesce("near", F.lit(False)).alias("near"))
     losing = maybe_broadcast(reliable(losing), 48)
-    gone = hashed(places).drop("line").join(losing, ["h", "g"]).where(F.col("near") | (F.struct("doc", "pos") > F.col("first")))
+    gone = places.join(losing, ["h", "g"]).where(F.col("near") | (place > F.col("first")))
     return reliable(gone.groupBy("doc").agg(F.sort_array(F.collect_set("pos")).alias("gone")))
 
 
