@@ -94,8 +94,8 @@ def as_text(fp: Column) -> Column:
     return F.lower(F.array_join(F.transform(fp, lambda x: F.lpad(F.hex(x), 16, "0")), ""))
 
 
-def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
-    """docs with `_next`, a struct of the carried columns of the row next in descending doc_id; the first follows the last.
+def with_next(docs: DataFrame, derive: Callable[[DataFrame], DataFrame], carried: list[str]) -> DataFrame:
+    """Derived docs with `_next`, a struct of the carried (some derived) columns of the row next in descending doc_id; the first follows the last.
 
     Ids are cut into ranges by approximate quantiles; each range is sorted on its own, and its last row takes the
     first row of the range below it (one row a range). Rows with equal ids follow in the order of a hash.
@@ -108,18 +108,19 @@ def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
     low = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col("_id"))) if cuts else F.lit(0)
     keyed = keyed.withColumn("_range", low)
     rest = F.struct(*carried)
-    inside = Window.partitionBy("_range").orderBy(F.desc("_id"), F.xxhash64(*carried))
+    inside = Window.partitionBy("_range").orderBy(F.desc("_id"), F.xxhash64("text"))
     ids = keyed.groupBy("_range").agg(F.max("_id").alias("_id"))  # a row a range
     heads = (
         keyed.join(F.broadcast(ids), ["_range", "_id"])
         .groupBy("_range")
-        .agg(F.min_by(rest, F.xxhash64(*carried)).alias("_head"))
+        .agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     )
+    heads = derive(heads).select("_range", rest.alias("_head"))
     down = Window.orderBy(F.desc("_range"))  # at most MOST_RANGES rows
     top = heads.agg(F.max_by("_head", "_range").alias("_top"))
     below = heads.withColumn("_below", F.lead("_head").over(down)).crossJoin(F.broadcast(top)).select("_range", F.coalesce("_below", "_top").alias("_below"))
     return (
-        keyed.withColumn("_next", F.lead(rest).over(inside))
+        derive(keyed).withColumn("_next", F.lead(rest).over(inside))
         .join(below, "_range")
         .withColumn("_next", F.coalesce("_next", "_below"))
         .drop("_id", "_range", "_below")
@@ -129,11 +130,12 @@ def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next); see the contract of op2."""
     text = F.coalesce("text", F.lit(""))
-    own = docs.select("doc_id", text.alias("text")).withColumn("fp", fingerprint(F.col("text")))
+    own = docs.select("doc_id", text.alias("text"))
+    derive = lambda df: df.withColumn("fp", fingerprint(F.col("text")))
     n = F.length("text")
     cut = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("_next.text"), F.lit(1), cut))
-    got = with_next(own, ["text", "fp"]).select("doc_id", n.cast("long").alias("n_chars"), "fp", F.col("_next.fp").alias("next_fp"), edited.alias("edited"))
+    got = with_next(own, derive, ["text", "fp"]).select("doc_id", n.cast("long").alias("n_chars"), "fp", F.col("_next.fp").alias("next_fp"), edited.alias("edited"))
     got = got.withColumn("edited_fp", fingerprint(F.col("edited")))
     return got.select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
