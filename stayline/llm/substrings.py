@@ -31,8 +31,10 @@ DEPTH = 50
 GRAM = 24
 #: a perfect difference cover: every difference by 13 is one of two members
 COVER, COVER_SET = 13, (0, 1, 3, 9)
-#: bytes of text per task of each step, and suffixes sorted at a time
-TASK_BYTES, BLOCK = 8 << 20, 1 << 17
+#: bytes of all text per group that counts buckets, and per group that sorts suffixes; suffixes sorted at a time
+COUNT_BYTES, SORT_BYTES, BLOCK = 8 << 20, 1 << 20, 1 << 16
+#: documents whose runs are sent together, and bytes whose suffixes are hashed together
+SLICE, PART_BYTES = 1000, 1 << 18
 BUCKET_BYTES = 6
 
 U = np.uint64
@@ -51,6 +53,18 @@ def mixed(x: np.ndarray, salt: int) -> np.ndarray:
 
 def buckets(raw: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of suffixes of one bucket: document index, bucket number, first start in the document, number of starts."""
+    found, at, size = [], 0, 0
+    for i in range(len(raw) + 1):
+        if i == len(raw) or (i > at and size + len(raw[i]) > PART_BYTES):
+            doc, *rest = _buckets(raw[at:i], depth)
+            found.append((doc + at, *rest))
+            at, size = i, 0
+        if i < len(raw):
+            size += len(raw[i])
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _buckets(raw: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     data = np.frombuffer(b"".join(raw) + bytes(64 + depth), np.uint8)
     w = words(data)
     n = len(data) - 64
@@ -75,6 +89,11 @@ def buckets(raw: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return doc[at], value[at], inside[at], np.diff(np.append(at, len(doc)))
 
 
+def task_of(values: np.ndarray, tasks: int) -> np.ndarray:
+    """One of `tasks` (below 2**31) groups. Bucket numbers are minima, so they are hashed once more to spread evenly."""
+    return ((mixed(values, 77) >> U(32)) * U(tasks) >> U(32)).astype(np.int64)
+
+
 def packed(values: np.ndarray) -> bytes:
     """The low BUCKET_BYTES of each number."""
     return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :BUCKET_BYTES].tobytes()
@@ -171,10 +190,10 @@ def run_buckets(docs: DataFrame, tasks: int, depth: int) -> DataFrame:
     """(task, docs, counts, numbers): packed bucket numbers of each slice of documents, by task."""
 
     def rows(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, SLICE):
             ids = np.array(batch.column("doc_id").to_pylist(), np.int64)
             doc, value, _, _ = buckets(_bytes(batch), depth)
-            task = (value >> U(48)).astype(np.int64) * tasks >> 16
+            task = task_of(value, tasks)
             order = np.lexsort((doc, task))
             doc, value, task = doc[order], value[order], task[order]
             out = []
@@ -220,7 +239,7 @@ def suffix_runs(docs: DataFrame, tasks: int, depth: int) -> DataFrame:
     """(task, docs, starts, lengths, text): the runs of shared buckets; and, with task -1, runs equal to an earlier one of the slice."""
 
     def rows(batches):
-        for batch in slices(batches, 1000):
+        for batch in slices(batches, SLICE):
             ids = np.array(batch.column("doc_id").to_pylist(), np.int64)
             order = np.argsort(ids, kind="stable")
             ids = ids[order]
@@ -235,9 +254,9 @@ def suffix_runs(docs: DataFrame, tasks: int, depth: int) -> DataFrame:
             doc, value, start, count = doc[keep], value[keep], start[keep], count[keep]
             pieces = [raw[d][s : s + c + depth - 1] for d, s, c in zip(doc.tolist(), start.tolist(), count.tolist())]
             seen: dict[bytes, int] = {}
-            first = np.array([seen.setdefault(p, d) for p, d in zip(pieces, ids[doc].tolist())], np.int64)
+            first = np.array([seen.setdefault(hashlib.md5(p).digest(), d) for p, d in zip(pieces, ids[doc].tolist())], np.int64)
             again = (first < ids[doc]) if len(doc) else np.zeros(0, bool)
-            task = np.where(again, -1, (value >> U(48)).astype(np.int64) * tasks >> 16)
+            task = np.where(again, -1, task_of(value, tasks))
             by = np.argsort(task, kind="stable")
             out = []
             for t, a, b in zip(*_cuts(task[by])):
@@ -303,16 +322,16 @@ def drop_repeats(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    tasks = max(8, min(1 << 16, int(size // TASK_BYTES)))
+    counting, sorting = (min((1 << 31) - 1, 8 + int(size // b)) for b in (COUNT_BYTES, SORT_BYTES))
     digest = F.sha2(F.col("text").cast("binary"), 256)
     equal = own.select("doc_id", digest.alias("d")).groupBy("d").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
     least = equal.where("least < most").select("d", "least")
     copies = own.select("doc_id", digest.alias("d")).join(least, "d").where("doc_id > least").select("doc_id").distinct()
     copies = reliable(copies)
     once = own.join(maybe_broadcast(copies, 16), "doc_id", "left_anti")
-    shared = reliable(shared_buckets(once, tasks, depth))
+    shared = reliable(shared_buckets(once, counting, depth))
     some = maybe_broadcast(shared.select("doc_id"), 16)
-    runs = suffix_runs(once.join(some, "doc_id", "left_semi").join(shared, "doc_id"), tasks, depth)
+    runs = suffix_runs(once.join(some, "doc_id", "left_semi").join(shared, "doc_id"), sorting, depth)
     gone = reliable(repeated_starts(runs, depth))
     marked = gone.select("doc_id", "runs", F.lit(False).alias("copy")).union(
         copies.select("doc_id", F.lit(None).cast("array<binary>").alias("runs"), F.lit(True).alias("copy"))
