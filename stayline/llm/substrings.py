@@ -107,7 +107,7 @@ def unpacked(raw: bytes) -> np.ndarray:
 
 def dense(*keys: np.ndarray) -> np.ndarray:
     """Ranks of rows by several keys, equal rows equal."""
-    order = np.lexsort(keys[::-1])
+    order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0])
     new = np.zeros(len(order), bool)
     for k in keys:
         new[1:] |= k[order][1:] != k[order][:-1]
@@ -116,6 +116,22 @@ def dense(*keys: np.ndarray) -> np.ndarray:
     return out
 
 
+def names(*keys: np.ndarray) -> np.ndarray:
+    """Numbers of rows by several keys, equal rows and only these equal: sorted by one hash, compared by the keys."""
+    h = np.zeros(len(keys[0]), U)
+    for k in keys:
+        h = mixed(h ^ k.astype(U), 5)
+    order = np.argsort(h)
+    h, new = h[order], np.zeros(len(order), bool)
+    for k in keys:
+        new[1:] |= k[order][1:] != k[order][:-1]
+    if (new[1:] & (h[1:] == h[:-1])).any():
+        return dense(*keys)
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(new)
+    return out
+
+
 def piece(w: np.ndarray, at: np.ndarray, size: int) -> list[np.ndarray]:
     """Numbers that hold `size` bytes from each position."""
     out = [w[at + s] for s in range(0, size - 7, 8)]
@@ -124,24 +140,34 @@ def piece(w: np.ndarray, at: np.ndarray, size: int) -> list[np.ndarray]:
     return out
 
 
-def cover_ranks(w: np.ndarray, n: int, size: int) -> np.ndarray:
-    """Per position, the rank of its `size` bytes among the cover sample (-1 outside of it)."""
-    member = np.isin(np.arange(COVER), COVER_SET)
-    at = np.flatnonzero(np.resize(member, n))
+def cover_ranks(w: np.ndarray, n: int, size: int, starts: np.ndarray) -> np.ndarray:
+    """Per position, the rank of its `size` bytes among the cover sample (-1 outside of it), near the starts.
+
+    Ranks need only tell equal strings from others. A string's rank comes from those of its parts of COVER bytes.
+    """
+    near = np.zeros(n + size + 1, np.int64)
+    np.add.at(near, starts, 1)
+    np.add.at(near, starts + COVER, -1)
+    wanted = np.resize(np.isin(np.arange(COVER), COVER_SET), n) & (np.cumsum(near)[:n] > 0)
+    steps = range(0, size - COVER + 1, COVER)
     short = np.full(n + size, -1, np.int64)
-    short[at] = dense(*piece(w, at, COVER))
-    full = [short[at + s] for s in range(0, size - COVER + 1, COVER)]  # the sample repeats after COVER positions
-    rest = piece(w, at + size - size % COVER, size % COVER) if size % COVER else []
+    parts = np.zeros(n + size, bool)
+    for s in steps:  # the sample repeats after COVER positions
+        parts[s : s + n] |= wanted
+    at = np.flatnonzero(parts)
+    short[at] = names(*piece(w, at, COVER))
+    at = np.flatnonzero(wanted)
     out = np.full(n, -1, np.int64)
-    out[at] = dense(*full, *rest)
+    rest = piece(w, at + size - size % COVER, size % COVER) if size % COVER else []
+    out[at] = names(*[short[at + s] for s in steps], *rest)
     return out
 
 
 def first_documents(text: bytes, starts: np.ndarray, docs: np.ndarray, depth: int = DEPTH) -> np.ndarray:
     """Of each start, the smallest document with the same `depth` bytes at one of the starts."""
     n = len(text)
-    w = words(np.frombuffer(text + bytes(64 + 2 * depth), np.uint8))
-    ranks = cover_ranks(w, n + COVER, depth - COVER)
+    w = words(np.frombuffer(text + bytes(128 + 3 * depth), np.uint8))
+    ranks = cover_ranks(w, n + COVER, depth - COVER, starts)
     out = docs.copy()
     block = np.argsort(w[starts] & U(0xFFFF), kind="stable")
     head = (w[starts[block]] & U(0xFFFF)).astype(np.int64)
@@ -163,9 +189,9 @@ def first_documents(text: bytes, starts: np.ndarray, docs: np.ndarray, depth: in
             rank = ranks[p + step]
             have = np.flatnonzero(rank >= 0)
             who.append(have)
-            keys.append((tie[have], np.full(len(have), step), rank[have]))
+            keys.append(((tie[have] << 4 | step) << 40) | rank[have])  # fewer than 2**19 ties, 2**40 ranks
         who = np.concatenate(who)
-        same = dense(*(np.concatenate(k) for k in zip(*keys)))
+        same = dense(np.concatenate(keys))
         least = np.full(same.max() + 1, np.iinfo(np.int64).max)
         np.minimum.at(least, same, docs[some][who])
         found = out[some]
@@ -336,8 +362,6 @@ def drop_repeats(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     marked = gone.select("doc_id", "runs", F.lit(False).alias("copy")).union(
         copies.select("doc_id", F.lit(None).cast("array<binary>").alias("runs"), F.lit(True).alias("copy"))
     )
-    size = marked.agg(F.coalesce(F.sum(F.lit(24) + F.coalesce(F.aggregate("runs", F.lit(0), lambda a, r: a + 24 + F.octet_length(r)), F.lit(0))), F.lit(0))).first()[0]
-    marked = F.broadcast(marked) if size <= 32 << 20 else marked
 
     def rows(batches):
         for batch in slices(batches):
