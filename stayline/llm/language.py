@@ -78,7 +78,7 @@ def codewords(k: int) -> np.ndarray:
     """k codewords: all splits of the languages if these are few, else the best of some random codes."""
     if k <= 7:
         bits = [(1, *rest) for rest in itertools.product((1, -1), repeat=max(0, k - 1)) if -1 in rest]
-        return np.array(bits, np.float64).T.reshape(k, -1)
+        return np.array(bits, np.float64).reshape(len(bits), k).T
     width = int(np.ceil(10 * np.log2(k)))
     tries = [np.random.default_rng(seed).choice([1.0, -1.0], (k, width)) for seed in range(50)]
     tries = [m[:, np.abs(m.sum(0)) < k] for m in tries]

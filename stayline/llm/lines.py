@@ -24,13 +24,13 @@ from stayline.llm.common import maybe_broadcast, reliable
 
 #: lines of fewer characters are too short for one edit to mean little
 SHORTEST = 16
-FIRST_ID = F.lit(-(1 << 63))
+FIRST_ID = -(1 << 63)
 
 
 def line_places(docs: DataFrame) -> DataFrame:
     """(doc, pos, line): every line that is not blank."""
     return docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), FIRST_ID).alias("doc"), F.posexplode(F.split("text", "\n")).alias("pos", "line")
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST_ID)).alias("doc"), F.posexplode(F.split("text", "\n")).alias("pos", "line")
     ).where(F.col("line").rlike(r"\S"))
 
 
@@ -148,7 +148,7 @@ def drop_lines(docs: DataFrame, shortest: int = SHORTEST) -> DataFrame:
     split = F.split("text", "\n")
     kept = F.filter(split, lambda _, i: ~F.array_contains("_gone", i))
     return (
-        docs.join(gone, F.coalesce(F.col("doc_id").cast("long"), FIRST_ID) == F.col("_doc"), "left")
+        docs.join(gone, F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST_ID)) == F.col("_doc"), "left")
         .withColumn("_kept", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
         .withColumn("_n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(split)))
         .withColumn("_n_dropped", F.coalesce(F.size("_gone"), F.lit(0)))

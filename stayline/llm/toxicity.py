@@ -207,6 +207,8 @@ def worst_windows(model: dict, texts: list[str]) -> tuple[np.ndarray, list[str]]
 
 
 def scores(model: dict, texts: list[str]) -> np.ndarray:
+    if not model["slope"]:
+        return np.zeros(len(texts))
     out = [np.zeros(0)]
     for a, b in groups(texts):
         score, _, starts = window_scores(model, texts[a:b])
