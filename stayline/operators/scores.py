@@ -14,8 +14,8 @@ CUTS_FULL, CLIP_SCALE, QUIET_DB, QUIET_PENALTY = 6.0, 100.0, -8.0, 20.0
 EXCERPT_CHARS = 500
 REWRITE_MIN_WORDS, REWRITE_MAX_RATIO, REWRITE_MIN_RATIO = 12, 0.8, 0.35
 SCRIPT_TOLERANCE, MIN_SIMILARITY = 0.35, 0.70
-NUMBER = r"(\d+(?::\d{2})?(?:\.\d+)?%?)"
-SOURCE_NUMBER = r"(\d+(?:[.:]\d+)?%?)"
+NUMBER = r"(\p{Nd}+(?::\p{Nd}{2})?(?:\.\p{Nd}+)?%?)"
+SOURCE_NUMBER = r"(\p{Nd}+(?:[.:]\p{Nd}+)?%?)"
 ECHO = r"(?i)^\s*(?:lines\s*)?\(?\s*\d{1,2}:\d{2}(?:\s*[–—-]\s*\d{1,2}:\d{2})?\s*\)?\s*[:,.–—-]*\s*"
 SMALL_NUMBERS = ["0", "1", "2", "3"]
 

@@ -92,8 +92,8 @@ def snap_to_pause(spark, sf):
 def _added(df):
     """Evidence appended after the planted one."""
     return df.select(*KEYS, F.round("risk_score", 4).alias("risk_score"),
-                     F.transform(F.slice("evidence", 2, 20), lambda e: e["label"]).alias("labels"),
-                     F.transform(F.slice("evidence", 2, 20), lambda e: F.round(e["value_num"], 4)).alias("vals"),
+                     F.transform(F.slice("evidence", F.lit(2), F.size("evidence")), lambda e: e["label"]).alias("labels"),
+                     F.transform(F.slice("evidence", F.lit(2), F.size("evidence")), lambda e: F.round(e["value_num"], 4)).alias("vals"),
                      F.get("edits", F.lit(0))["reason"].alias("reason"))
 
 
