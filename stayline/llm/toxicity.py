@@ -79,10 +79,10 @@ def hashed_subsequences(s: np.ndarray) -> np.ndarray:
 def window_features(strings: list[str]) -> np.ndarray:
     """Row per string, its subsequences within one window: WINDOW * len(GAPS) hashes."""
     out = np.zeros((len(strings), WINDOW * len(GAPS)), np.int64)
-    for i, text in enumerate(strings):
-        s, _ = symbols([text])
-        h = hashed_subsequences(s)[:WINDOW].ravel()
-        out[i, : len(h)] = h
+    for a in range(0, len(strings), 2000):
+        s, starts = symbols(strings[a : a + 2000])
+        # every text ends in WINDOW zeros, so no window reaches into the next text
+        out[a : a + 2000] = hashed_subsequences(s)[starts[:, None] + np.arange(WINDOW)].reshape(len(starts), -1)
     return out
 
 
@@ -159,17 +159,17 @@ def fit(docs: list[str], labels: list[int]) -> dict:
     used = values > 1e-4 * values.max()
     root = axes[:, used] / np.sqrt(values[used])
     model = {}
+    z = kernel(window_features(positives + negatives), table) @ root
     for step in range(MINED + 1):
-        rows = window_features(positives + negatives)
-        y = np.array([1.0] * len(positives) + [-1.0] * len(negatives))
-        weight = np.where(y > 0, 1 / max(1, len(positives)), 1 / max(1, len(negatives)))
-        w, b = svm(kernel(rows, table) @ root, y, weight * len(y))
+        y = np.where(np.arange(len(z)) < len(positives), 1.0, -1.0)
+        weight = np.where(y > 0, 1 / max(1, len(positives)), 1 / max(1, len(z) - len(positives)))
+        w, b = svm(z, y, weight * len(y))
         model = {"u": (table @ (root @ w)).astype(np.float32), "b": b, "slope": 1.0, "shift": 0.0}
         if step < MINED:  # clean windows that look worst join the negatives
             clean = [t for t, label in zip(docs, toxic) if not label]
             top, where = worst_windows(model, clean)
-            for i in np.argsort(-top)[:MINED_EACH]:
-                negatives.append(where[i])
+            mined = window_features([where[i] for i in np.argsort(-top)[:MINED_EACH]])
+            z = np.vstack([z, kernel(mined, table) @ root])
     top, _ = worst_windows(model, docs)
     x, t = np.stack([top, np.ones(len(top))], 1), toxic.astype(float)
     share = toxic.mean()
