@@ -36,7 +36,7 @@ def op4_embedding_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
 def op5_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     labels = table(spark, sf, "labels").where("crc32(cast(doc_id AS string)) % 4 <> 2").select("doc_id", "toxic")
-    model = toxicity.train(docs.join(labels, "doc_id"))
+    model = toxicity.train(docs, labels)
     got = toxicity.scored(docs, model)
     return got.select(
         "doc_id",

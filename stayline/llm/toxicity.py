@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from stayline.llm.common import slices, texts_of
+from stayline.llm.common import maybe_broadcast, reliable, slices, texts_of
 from stayline.llm.language import groups, letters
 
 BITS = 16
@@ -217,17 +217,21 @@ def scores(model: dict, texts: list[str]) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(model["slope"] * top + model["shift"], -50, 50)))
 
 
-def train(labelled: DataFrame, sample: int = SAMPLE) -> dict:
-    """A model from (doc_id, text, toxic), reading about `sample` rows of each label, chosen by a hash of doc_id."""
-    rows = labelled.where("toxic IN (0, 1) AND text IS NOT NULL")
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
+    """A model from (doc_id, text) and (doc_id, toxic), of about `sample` labels of each kind, chosen by a hash of doc_id.
+
+    The labels are drawn first, so that no text is shuffled: what is drawn is bounded, and broadcast if it is as small as it should be.
+    """
+    rows = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", "toxic")
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 2:
         return fit([], [])
     part = {k: int(min(1.0, sample / n) * (1 << 20)) for k, n in sizes.items()}
     limit = F.when(F.col("toxic") == 1, part[1]).otherwise(part[0])
-    drawn = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < limit).select("doc_id", "text", "toxic").toPandas()
-    drawn = drawn.sort_values(["doc_id", "toxic"], kind="stable")
-    return fit(drawn["text"].tolist(), drawn["toxic"].tolist())
+    drawn = reliable(rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < limit))
+    read = docs.where("text IS NOT NULL").select("doc_id", "text").join(maybe_broadcast(drawn, 16), "doc_id").toPandas()
+    read = read.sort_values(["doc_id", "toxic"], kind="stable")
+    return fit(read["text"].tolist(), read["toxic"].tolist())
 
 
 def scored(docs: DataFrame, model: dict) -> DataFrame:

@@ -94,6 +94,21 @@ def test_toxicity():
     assert toxicity.scores(model, ["", "1 2"]).max() < 0.3 and toxicity.scores(toxicity.fit([], []), ["x"])[0] == 0
 
 
+def test_toxicity_training(spark):
+    rng = random.Random(6)
+    words = ["stone", "river", "cloud", "paper", "light"]
+    text = lambda bad: " ".join(rng.choice(words) for _ in range(12)) + (" blockhead" if bad else "")
+    rows = [(i, text(i % 3 == 0)) for i in range(150)] + [(200, None), (201, "")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = [(i, int(i % 3 == 0)) for i in range(150)] + [(200, 1), (201, 0), (7, None), (None, 1), (999, 1)]
+    labels = spark.createDataFrame(marks, "doc_id long, toxic int")
+    model = toxicity.train(table, labels)
+    got = {r["doc_id"]: r["score"] for r in toxicity.scored(table, model).collect()}
+    assert len(got) == len(rows) and all((got[i] >= 0.3) == (i % 3 == 0) for i in range(150)) and got[200] == got[201]
+    assert toxicity.train(table, labels.where("toxic = 1"))["slope"] == 0.0
+    assert toxicity.train(table.limit(0), labels)["slope"] == 0.0 and toxicity.scored(table.limit(0), model).count() == 0
+
+
 def test_html(spark):
     page = '<html><head><title>t</title></head><body><nav><ul><li><a href="/x">{0}</a></li></ul></nav><article><h1>{1}</h1><p>{2} &amp; more<br>text<p>{3}</article><footer>&copy; {4}</footer>'
     rng = random.Random(5)
