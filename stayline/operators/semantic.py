@@ -89,6 +89,8 @@ def best_earlier(
     sent = x.join(top, "video_id").select(
         "video_id", "idx", "start", "end", "eligible", vec, "_b", F.explode(pairs).alias("_pq")
     ).select("*", F.col("_pq.p").alias("_p"), F.col("_pq.q").alias("_q")).drop("_pq")
+    # after a join that lies by video, grouping alone would leave all pairs of a long video in one task
+    sent = sent.repartition("video_id", "_p", "_q")
     video_type = items.schema["video_id"].dataType.simpleString()
 
     def pair(pdf: pd.DataFrame) -> pd.DataFrame:
