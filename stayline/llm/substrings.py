@@ -327,13 +327,9 @@ def repeated_starts(runs: DataFrame, depth: int) -> DataFrame:
     return sorted_.union(runs.where("task < 0").mapInArrow(known, kind)).groupBy("doc_id").agg(F.collect_list("runs").alias("runs"))
 
 
-def kept_text(raw: bytes, runs: list[bytes] | None, copy: bool, depth: int) -> tuple[int, int, str, bytes]:
+def kept_text(raw: bytes, runs: list[bytes], depth: int) -> tuple[int, int, str, bytes]:
     """Removed bytes, removed spans, hash of the rest, and the rest."""
     n = len(raw)
-    if copy and n >= depth:
-        return n, 1, hashlib.sha256(b"").hexdigest(), b""
-    if not runs:
-        return 0, 0, hashlib.sha256(raw).hexdigest(), raw
     pairs = np.concatenate([np.frombuffer(r, "<i4").reshape(-1, 2) for r in runs])
     change = np.zeros(n + 1, np.int64)
     np.add.at(change, pairs[:, 0], 1)
@@ -359,15 +355,26 @@ def drop_repeats(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     some = maybe_broadcast(shared.select("doc_id"), 16)
     runs = suffix_runs(once.join(some, "doc_id", "left_semi").join(shared, "doc_id"), sorting, depth)
     gone = reliable(repeated_starts(runs, depth))
-    marked = gone.select("doc_id", "runs", F.lit(False).alias("copy")).union(
-        copies.select("doc_id", F.lit(None).cast("array<binary>").alias("runs"), F.lit(True).alias("copy"))
-    )
+    hit = maybe_broadcast(gone.select("doc_id"), 16)
 
     def rows(batches):
         for batch in slices(batches):
             raw = _bytes(batch)
-            got = [kept_text(r, g, bool(c), depth) for r, g, c in zip(raw, batch.column("runs").to_pylist(), batch.column("copy").to_pylist())]
+            got = [kept_text(r, g, depth) for r, g in zip(raw, batch.column("runs").to_pylist())]
             columns = [batch.column("doc_id"), pa.array([len(r) for r in raw], pa.int64()), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return own.join(marked, "doc_id", "left").select("doc_id", "text", "runs", "copy").mapInArrow(rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    cut = own.join(hit, "doc_id", "left_semi").join(gone, "doc_id").select("doc_id", "text", "runs")
+    cut = cut.mapInArrow(rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    # the others lose nothing or, as copies, all: their sizes and digests are enough, no text is shuffled
+    sizes = own.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), digest.alias("d")).join(hit, "doc_id", "left_anti")
+    whole = sizes.join(maybe_broadcast(copies.withColumn("copy", F.lit(True)), 16), "doc_id", "left")
+    all_gone = F.coalesce("copy", F.lit(False)) & (F.col("n_bytes") >= depth)
+    whole = whole.select(
+        "doc_id",
+        "n_bytes",
+        F.when(all_gone, F.col("n_bytes")).otherwise(0).alias("n_removed"),
+        all_gone.cast("long").alias("n_spans"),
+        F.when(all_gone, F.sha2(F.lit(b""), 256)).otherwise(F.col("d")).alias("kept_sha256"),
+    )
+    return cut.unionByName(whole)
