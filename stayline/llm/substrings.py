@@ -35,7 +35,9 @@ COVER, COVER_SET = 13, (0, 1, 3, 9)
 COUNT_BYTES, SORT_BYTES, BLOCK = 8 << 20, 1 << 20, 1 << 16
 #: documents whose runs are sent together, and bytes whose suffixes are hashed together
 SLICE, PART_BYTES = 1000, 1 << 18
-BUCKET_BYTES = 6
+#: bytes of a packed bucket number; numbers meet only those of one group that counts, so four tell a million apart (equal
+#: numbers of two buckets would cost work, not results)
+BUCKET_BYTES = 4
 
 U = np.uint64
 
@@ -145,19 +147,19 @@ def cover_ranks(w: np.ndarray, n: int, size: int, starts: np.ndarray) -> np.ndar
 
     Ranks need only tell equal strings from others. A string's rank comes from those of its parts of COVER bytes.
     """
-    near = np.zeros(n + size + 1, np.int64)
+    near = np.zeros(n + size + 1, np.int32)
     np.add.at(near, starts, 1)
     np.add.at(near, starts + COVER, -1)
-    wanted = np.resize(np.isin(np.arange(COVER), COVER_SET), n) & (np.cumsum(near)[:n] > 0)
+    wanted = np.resize(np.isin(np.arange(COVER), COVER_SET), n) & (np.cumsum(near, dtype=np.int32)[:n] > 0)
     steps = range(0, size - COVER + 1, COVER)
-    short = np.full(n + size, -1, np.int64)
+    short = np.full(n + size, -1, np.int32)
     parts = np.zeros(n + size, bool)
     for s in steps:  # the sample repeats after COVER positions
         parts[s : s + n] |= wanted
     at = np.flatnonzero(parts)
     short[at] = names(*piece(w, at, COVER))
     at = np.flatnonzero(wanted)
-    out = np.full(n, -1, np.int64)
+    out = np.full(n, -1, np.int32)
     rest = piece(w, at + size - size % COVER, size % COVER) if size % COVER else []
     out[at] = names(*[short[at + s] for s in steps], *rest)
     return out
@@ -189,7 +191,7 @@ def first_documents(text: bytes, starts: np.ndarray, docs: np.ndarray, depth: in
             rank = ranks[p + step]
             have = np.flatnonzero(rank >= 0)
             who.append(have)
-            keys.append(((tie[have] << 4 | step) << 40) | rank[have])  # fewer than 2**19 ties, 2**40 ranks
+            keys.append(((tie[have] << 4 | step) << 40) | rank[have].astype(np.int64))  # fewer than 2**19 ties, 2**40 ranks
         who = np.concatenate(who)
         same = dense(np.concatenate(keys))
         least = np.full(same.max() + 1, np.iinfo(np.int64).max)
