@@ -19,6 +19,7 @@ Null texts are empty. Texts shorter than `depth` keep all. Whole texts are read.
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -214,6 +215,21 @@ def _bytes(batch) -> list[bytes]:
     return [t.encode("utf-8", "surrogatepass") for t in texts_of(batch)]
 
 
+def squeezed(docs: DataFrame) -> DataFrame:
+    """(doc_id, packed): texts compressed one by one, a third less to shuffle than Spark's own blocks of them."""
+
+    def rows(batches):
+        for batch in slices(batches):
+            found = pa.array([zlib.compress(t, 1) for t in _bytes(batch)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), found], names=["doc_id", "packed"])
+
+    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, packed binary")
+
+
+def _unsqueezed(batch) -> list[bytes]:
+    return [zlib.decompress(p) for p in batch.column("packed").to_pylist()]
+
+
 def run_buckets(docs: DataFrame, tasks: int, depth: int) -> DataFrame:
     """(task, docs, counts, numbers): packed bucket numbers of each slice of documents, by task."""
 
@@ -271,7 +287,7 @@ def suffix_runs(docs: DataFrame, tasks: int, depth: int) -> DataFrame:
             ids = np.array(batch.column("doc_id").to_pylist(), np.int64)
             order = np.argsort(ids, kind="stable")
             ids = ids[order]
-            raw = _bytes(batch)
+            raw = _unsqueezed(batch)
             raw = [raw[i] for i in order]
             shared = batch.column("shared").to_pylist()
             mask = U((1 << 8 * BUCKET_BYTES) - 1)
@@ -295,7 +311,7 @@ def suffix_runs(docs: DataFrame, tasks: int, depth: int) -> DataFrame:
                 kinds = (pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["task", "docs", "starts", "counts", "text"])
 
-    return docs.select("doc_id", "text", "shared").mapInArrow(rows, "task int, docs array<bigint>, starts array<int>, counts array<int>, text binary")
+    return docs.select("doc_id", "packed", "shared").mapInArrow(rows, "task int, docs array<bigint>, starts array<int>, counts array<int>, text binary")
 
 
 def repeated_starts(runs: DataFrame, depth: int) -> DataFrame:
@@ -355,18 +371,20 @@ def drop_repeats(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     once = own.join(maybe_broadcast(copies, 16), "doc_id", "left_anti")
     shared = reliable(shared_buckets(once, counting, depth))
     some = maybe_broadcast(shared.select("doc_id"), 16)
-    runs = suffix_runs(once.join(some, "doc_id", "left_semi").join(shared, "doc_id"), sorting, depth)
+    # copies have no shared buckets, so the join with these leaves them out
+    tight = squeezed(own)
+    runs = suffix_runs(tight.join(some, "doc_id", "left_semi").join(shared, "doc_id"), sorting, depth)
     gone = reliable(repeated_starts(runs, depth))
     hit = maybe_broadcast(gone.select("doc_id"), 16)
 
     def rows(batches):
         for batch in slices(batches):
-            raw = _bytes(batch)
+            raw = _unsqueezed(batch)
             got = [kept_text(r, g, depth) for r, g in zip(raw, batch.column("runs").to_pylist())]
             columns = [batch.column("doc_id"), pa.array([len(r) for r in raw], pa.int64()), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    cut = own.join(hit, "doc_id", "left_semi").join(gone, "doc_id").select("doc_id", "text", "runs")
+    cut = tight.join(hit, "doc_id", "left_semi").join(gone, "doc_id").select("doc_id", "packed", "runs")
     cut = cut.mapInArrow(rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     # the others lose nothing or, as copies, all: their sizes and digests are enough, no text is shuffled
     sizes = own.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), digest.alias("d")).join(hit, "doc_id", "left_anti")
