@@ -224,7 +224,7 @@ select video_id, flag_id, round(risk_score, 4) as risk_score,
 sp as (select *, case when cuts_per_minute >= 6 then """ + whole("cuts_per_minute") + """ || ' scene cuts per minute'
     when visual_type in ('diagram', 'chart', 'screen', 'broll') and visual_type_share >= 0.6::double and speech_match_ratio >= 1 then """ + NAMES + """ || ' on screen that matches the words' end as why
   from ins where kind = 'speech' and source = 'rule' and category in ('pacing', 'low_information', 'fillers')),
-c as (select video_id, flag_id, count(*) as n, count(why) as s, arg_min(why, idx) filter (where why is not null) as reason from sp group by 1, 2),
+c as (select video_id, flag_id, count(coalesce(cuts_per_minute::varchar, visual_type, speech_match_ratio::varchar)) as n, count(why) as s, arg_min(why, idx) filter (where why is not null) as reason from sp group by 1, 2),
 d as (select * from c where s > 0 and s * 2 >= n)
 select f.video_id, f.flag_id, case when d.reason is not null then round_even(risk_score * 0.7::double, 3) else round(risk_score, 4) end as risk_score,
   case when d.reason is not null then ['Visuals may carry this stretch: ' || d.reason || ' (rule, not validated)'] else [] end as labels,

@@ -10,13 +10,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-BUCKETS = 64
+#: fewest value buckets; a session with more shuffle partitions gets as many as these
+LEAST_BUCKETS = 64
 
 
 def _cut_points(df: DataFrame, value: str, buckets: int) -> list[float]:
     """At most ``buckets`` numbers; they only balance the work, results never depend on them."""
     shares = [i / buckets for i in range(1, buckets)]
-    row = df.agg(F.percentile_approx(F.col(value), shares, 1000).alias("cuts")).first()
+    row = df.agg(F.percentile_approx(F.col(value), shares, max(1000, 10 * buckets)).alias("cuts")).first()
     return sorted(set(row["cuts"] or []))
 
 
@@ -25,10 +26,12 @@ def cumulative(
     value: str,
     measures: dict[str, Column],
     by: tuple[str, ...] = (),
-    buckets: int = BUCKETS,
+    buckets: int | None = None,
 ) -> DataFrame:
     """One row per distinct (by, value): each measure's sum, its sum over smaller values
     (``<m>_below``) and its group total (``<m>_total``)."""
+    if buckets is None:
+        buckets = max(LEAST_BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     cuts = _cut_points(df, value, buckets)
     counts = df.groupBy(*by, value).agg(*[F.sum(c).alias(m) for m, c in measures.items()])
     bucket = F.lit(0)

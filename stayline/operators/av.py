@@ -41,7 +41,7 @@ def frame_db(chunks: DataFrame, frame: int, hop: int) -> DataFrame:
     per = chunks.select("video_id", F.explode(blocks).alias("x")).groupBy("video_id", F.col("x.b").alias("b")).agg(
         F.sum("x.n").alias("n"), F.sum("x.sq").alias("sq")
     )
-    ahead = W.partitionBy("video_id").orderBy("b").rowsBetween(0, frame // g - 1)
+    ahead = W.partitionBy("video_id").orderBy("b").rangeBetween(0, frame // g - 1)
     full = per.withColumns({"_n": F.sum("n").over(ahead), "_sq": F.sum("sq").over(ahead)})
     return full.where((F.col("_n") == frame) & (F.col("b") % (hop // g) == 0)).select(
         "video_id", (F.col("b") / (hop // g)).cast("int").alias("k"),

@@ -399,14 +399,16 @@ def visual_evidence(flags: DataFrame, segs: DataFrame, keys: list[str]) -> DataF
 
 
 def visual_compensation(flags: DataFrame, segs: DataFrame, keys: list[str]) -> DataFrame:
-    """Rule-only flags count less where strong pictures carry at least half the covered speech."""
+    """Rule-only flags count less where strong pictures carry at least half the covered speech.
+    Speech without any picture measurement is not counted."""
     cand = flags.where((F.col("source") == "rule") & F.col("category").isin(COMPENSATED))
     x = _inside(cand, segs.where("kind = 'speech'"), keys, ["cuts_per_minute", "visual_type", "visual_type_share", "speech_match_ratio"])
     why = F.when(F.col("cuts_per_minute_r") >= STRONG_CUTS, F.concat(_whole(F.col("cuts_per_minute_r")), F.lit(" scene cuts per minute"))).when(
         F.col("visual_type_r").isin(STRONG_TYPES) & (F.col("visual_type_share_r") >= STRONG_SHARE) & (F.col("speech_match_ratio_r") >= STRONG_MATCH),
         F.concat(_names(F.col("visual_type_r")), F.lit(" on screen that matches the words")))
+    measured = F.coalesce(F.col("cuts_per_minute_r").cast("string"), F.col("visual_type_r"), F.col("speech_match_ratio_r").cast("string"))
     x = x.withColumn("_why", why).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.count("_why").alias("strong"), F.min_by("_why", F.when(F.col("_why").isNotNull(), F.col("idx_r"))).alias("reason"))
+        F.count(measured).alias("n"), F.count("_why").alias("strong"), F.min_by("_why", F.when(F.col("_why").isNotNull(), F.col("idx_r"))).alias("reason"))
     x = x.where("strong > 0 and strong * 2 >= n").select(*keys, F.col("reason").alias("_reason"))
     out = flags.join(x, keys, "left")
     more = evidence(F.concat(F.lit("Visuals may carry this stretch: "), F.col("_reason"), F.lit(" (rule, not validated)")), F.lit("yes"), text=True)

@@ -57,21 +57,27 @@ def qualify_topk(
 
 def coverage_diff(watch: DataFrame, lectures: DataFrame, tol: float) -> DataFrame:
     """(video, t, delta): +1 where a starter's interval begins, -1 after it ends. Two rows per
-    merged interval, summed map-side, so a popular video shuffles at most one row per second."""
+    merged interval, summed map-side before lectures are joined, so a popular video shuffles and
+    joins at most one row per second."""
     spans = anchor_start(merge_intervals(watch), tol)
     started = F.min("first_raw").over(W.partitionBy(*ENTRY)) <= tol
     spans = spans.withColumn("_st", started).where("_st")
     size = lectures.select("video_id", F.ceil("duration_s").cast("int").alias("n"))
-    spans = spans.join(size, "video_id").select(
+    spans = spans.select(
         "video_id",
         F.greatest(F.lit(0), F.floor("start").cast("int")).alias("a"),
-        F.least("n", F.ceil("end").cast("int")).alias("b"),
+        F.ceil("end").cast("int").alias("b"),
     )
     steps = F.explode(F.expr("array(struct(a as t, 1L as d), struct(b as t, -1L as d))"))
-    return (
+    sums = (
         spans.where("b > a").select("video_id", steps.alias("x"))
         .groupBy("video_id", F.col("x.t").alias("t")).agg(F.sum("x.d").alias("delta"))
     )
+    # what lies past the end meets at the end; intervals wholly past it cancel out there
+    return (
+        sums.join(size, "video_id").groupBy("video_id", "n", F.least("t", "n").alias("t"))
+        .agg(F.sum("delta").alias("delta")).where("t < n OR delta <> 0").select("video_id", "t", "delta")
+    )
 
 
 def retention_curve(deltas: DataFrame, lectures: DataFrame) -> DataFrame:

@@ -97,11 +97,14 @@ def _added(df):
                      F.get("edits", F.lit(0))["reason"].alias("reason"))
 
 
+def _phrases(segs):
+    return segs.where("kind = 'speech' and k % 4 < 2").select(
+        "video_id", "idx", F.expr("concat('phrase ', k % 3)").alias("phrase"), F.expr("3 + k % 3").alias("count"), F.col("start").alias("at"), F.lit(1.0).alias("first_at"))
+
+
 def delivery_evidence(spark, sf):
     segs = v.seg_features(spark, sf)
-    phrases = segs.where("kind = 'speech' and k % 4 < 2").select(
-        "video_id", "idx", F.expr("concat('phrase ', k % 3)").alias("phrase"), F.expr("3 + k % 3").alias("count"), F.col("start").alias("at"), F.lit(1.0).alias("first_at"))
-    return _added(op.delivery_evidence(v.seg_flags(spark, sf), segs, KEYS, phrases))
+    return _added(op.delivery_evidence(v.seg_flags(spark, sf), segs, KEYS, _phrases(segs)))
 
 
 def visual_evidence(spark, sf):
@@ -120,7 +123,7 @@ def detect_flags(spark, sf):
         op.rule_slow_hook(segs, words), op.rule_late_promise(segs, checks, v.seg_sentences(spark, sf)), op.rule_repetition(segs, checks),
         op.rule_low_information(segs), op.rule_pacing(segs), op.rule_silence(segs), op.rule_static(segs), op.rule_ledger(v.seg_ledger(spark, sf)),
     ]
-    out = op.assemble(segs, found, words)
+    out = op.assemble(segs, found, words, _phrases(segs))
     return out.select("video_id", "flag_id", "start", "end", "severity", "category", "source", "risk_score", "title", F.size("evidence").alias("n_evidence"),
                       F.transform("edits", lambda e: e["id"]).alias("edit_ids"))
 

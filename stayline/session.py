@@ -13,8 +13,6 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # rows placed by video_id are not shuffled again for joins on (video_id, position)
-    "spark.sql.requireAllClusterKeysForCoPartition": "false",
 }
 
 
