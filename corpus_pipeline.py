@@ -1,7 +1,8 @@
 """A training-text pipeline: each stage works on all that its predecessor kept.
 
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which is written
-as Parquet and read again as the next one's docs. All but the last return the columns of documents.
+as Parquet and read again as the next one's docs. All but the last return the columns of documents; mixing adds
+each document's place, mix_slot and mix_offset, by which packing deals the pieces and numbers the sequences.
 """
 
 from __future__ import annotations
@@ -42,13 +43,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, ordered so that the sources come at their target weights."""
-    return mixing.mixed(with_row(docs, "doc_id", "source")).select("row.*")
+    """All documents with their places in an order in which the sources come at their target weights."""
+    kept = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in mixing.PLACE]
+    return mixing.mixed(with_row(docs, "doc_id", "source")).select(*kept, *mixing.PLACE)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents and their places in sequences."""
-    return packing.pack(docs, tokenizer_path())
+    """The pieces of the documents and their places in sequences, which come in the order of mixing."""
+    return packing.pack(docs, tokenizer_path(), order=F.col("mix_slot") * mixing.BLOCK + F.col("mix_offset"))
 
 
 STAGES = [

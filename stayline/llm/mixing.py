@@ -23,6 +23,7 @@ BLOCK = 8
 ROUND = 1000
 #: weights when none are given: proportional to the number of documents to this power
 POWER = 0.5
+PLACE = ["mix_slot", "mix_offset"]
 
 
 def rounded_shares(weights: dict, q: int) -> dict:
@@ -81,5 +82,5 @@ def mix(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, q: int
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
-    """The documents in mixed order (range partitions in slot order, sorted inside), columns as given."""
-    return mix(docs, **how).orderBy("mix_slot", "mix_offset").drop("mix_slot", "mix_offset")
+    """The documents in mixed order (range partitions in slot order, sorted inside), with `mix_slot` and `mix_offset`."""
+    return mix(docs, **how).orderBy(*PLACE)

@@ -6,6 +6,10 @@ completion (enumerate the undominated fillings around the largest piece, prune b
 better packing may have) improves it while it exceeds the lower bound. The answer is a short list of
 fillings, each with how often it is used; Spark deals the pieces to them by length and rank.
 
+Ranks follow md5, or an order of the documents if one is given. Then the uses of each filling are spread evenly over
+the order, so that a sequence gets pieces from about the same part of it, and sequences are numbered by their first piece
+in the order. The number of sequences is the same; a length that occurs once goes where its filling needs it.
+
 Nulls and empty texts are one end token. Equal rows are packed each on its own. Columns other than
 doc_id and text are ignored. An empty table gives an empty result.
 """
@@ -18,14 +22,16 @@ from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from stayline.llm.common import reliable, slices, spread_rank, texts_of
+from stayline.llm.common import ordered_rank, reliable, slices, spread_rank, texts_of
 
 CAPACITY = 2048
 #: steps of the search for a packing better than the incumbent, and fillings kept around one piece
 STEPS = 40_000
 FILLINGS = 50
+#: parts of an order among which the uses of a filling are spread
+PARTS = 64
 #: distinct words whose ids a Python worker keeps
 WORDS_KEPT = 250_000
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -97,20 +103,21 @@ def cut_pieces(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((s, capacity) for s in range(first, n, capacity))]
 
 
-def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32): each document with an end token, cut to capacity."""
+def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, order: Column | None = None) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32, _order): each document with an end token, cut to capacity."""
 
     def rows(batches):
         for batch in slices(batches):
             out = []
-            for doc, raw in zip(batch.column("doc_id").to_pylist(), token_bytes(texts_of(batch), path)):
+            for doc, at, raw in zip(batch.column("doc_id").to_pylist(), batch.column("_order").to_pylist(), token_bytes(texts_of(batch), path)):
                 raw += b"\0\0\0\0"
                 for k, (start, length) in enumerate(cut_pieces(len(raw) // 4, capacity)):
-                    out.append((doc, k, start, length, zlib.crc32(raw[4 * start : 4 * (start + length)])))
-            columns = [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32"])
+                    out.append((doc, k, start, length, zlib.crc32(raw[4 * start : 4 * (start + length)]), at))
+            columns = [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32", "_order"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, PIECE)
+    at = F.lit(None) if order is None else order
+    return docs.select(F.col("doc_id").cast("long"), "text", at.cast("long").alias("_order")).mapInArrow(rows, f"{PIECE}, _order long")
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -218,6 +225,16 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, steps: int = STEPS) -
     return best
 
 
+def spread(fillings: list[tuple[tuple[int, ...], int]]) -> list[tuple[tuple[int, ...], int]]:
+    """The fillings with their uses in up to PARTS parts each, in turn; fillings used once are spread as well."""
+    out = []
+    for i, (filling, times) in enumerate(fillings):
+        parts = min(times, PARTS)
+        shift = (i + 1) * 0.6180339887498949 % 1  # the golden ratio spreads any number of them evenly
+        out += [((j + shift) / parts, i, filling, (j + 1) * times // parts - j * times // parts) for j in range(parts)]
+    return [(filling, times) for _, _, filling, times in sorted(out)]
+
+
 def shares(fillings: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
     """Rows (length, first rank, sequence, per sequence, offset), ordered: who gets which pieces of a length."""
     taken: dict[int, int] = {}
@@ -233,12 +250,19 @@ def shares(fillings: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
     return np.array(sorted(out), np.int64).reshape(-1, 5)
 
 
-def pack(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
-    """Pieces with sequence_id and offset; see the module text."""
-    cut = reliable(pieces(docs, path, capacity))
+def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, order: Column | None = None) -> DataFrame:
+    """Pieces with sequence_id and offset; see the module text.
+
+    `order` is a whole number from 0 on the rows of docs, another one for each row.
+    """
+    cut = reliable(pieces(docs, path, capacity, order))
     lengths = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    deal = shares(plan(lengths, capacity))
-    ranked = spread_rank(cut, "length", F.concat_ws("_", "doc_id", "piece", "ids_crc32"))
+    if order is None:
+        deal = shares(plan(lengths, capacity))
+        ranked = spread_rank(cut, "length", F.concat_ws("_", "doc_id", "piece", "ids_crc32"))
+    else:
+        deal = shares(spread(plan(lengths, capacity)))
+        ranked = ordered_rank(cut, "length", "_order", "piece")
 
     def rows(batches):
         edges = deal[:, 0] * (1 << 45) + deal[:, 1]
@@ -250,5 +274,10 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
             pdf["offset"] = got[:, 4] + place % got[:, 3] * size
             yield pdf
 
-    names = ["doc_id", "piece", "start", "length", "ids_crc32", "_rank"]
-    return ranked.select(names).mapInPandas(rows, f"{PIECE}, sequence_id long, offset long")
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    if order is None:
+        return ranked.select(*names, "_rank").mapInPandas(rows, f"{PIECE}, sequence_id long, offset long")
+    placed = reliable(ranked.select(*names, "_order", "_rank").mapInPandas(rows, f"{PIECE}, _order long, sequence_id long, offset long"))
+    heads = placed.groupBy("sequence_id").agg(F.min(F.struct("_order", "piece")).alias("_head"))
+    heads = ordered_rank(heads.select("sequence_id", "_head.*", F.lit(0).alias("_all")), "_all", "_order", "piece")
+    return placed.join(heads.select("sequence_id", "_rank"), "sequence_id").select(*names, F.col("_rank").alias("sequence_id"), "offset")
