@@ -17,6 +17,8 @@ from stayline.llm.queries import tokenizer_path
 
 #: an ambiguous document goes only if no codeword is nearer than this
 REJECT_LOSS = 0.75
+#: documents that share this many of 100 shingles are near copies (op8 has its own threshold)
+NEAR_ALIKE = 80
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +41,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    return near.keep_first(with_row(docs, "doc_id", "text")).select("row.*")
+    return near.keep_first(with_row(docs, "doc_id", "text"), NEAR_ALIKE).select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ round t + b all fall into bin b; a bin keeps its least value, and a document sto
 is empty. So every coordinate fills, and the share of equal coordinates concentrates around the similarity.
 
 Documents with equal sets form a class, and classes are sketched once. Bands of coordinates give buckets; buckets
-with the same members count once. The sets of a bucket meet in one task, which verifies 100 |A and B| >= 85
+with the same members count once. The sets of a bucket meet in one task, which verifies 100 |A and B| >= alike
 |A or B| until its members are connected as all true links connect them. A large bucket is dealt to tasks by pairs of
 chunks, so memory is bounded and no pair is left out. Links become components by star contraction.
 
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 from stayline.llm.common import components, maybe_broadcast, reliable, slices, texts_of
 
 WORDS = 5
-#: similarity as a fraction of 100
+#: similarity as a fraction of 100; at 80 the bands miss a pair with probability (1 - 0.8 ** 4) ** 20, 3 in 100,000
 ALIKE = 85
 BANDS, ROWS = 20, 4
 SEED = 0x9E3779B97F4A7C15
@@ -196,7 +196,7 @@ def bucket_members(classes: DataFrame) -> DataFrame:
     )
 
 
-def verified(docs: DataFrame, members: DataFrame) -> DataFrame:
+def verified(docs: DataFrame, members: DataFrame, alike: int = ALIKE) -> DataFrame:
     """(a, b): links between members of a task, enough to connect what all links connect."""
     names = maybe_broadcast(reliable(members.select("doc_id").distinct()), 16)
 
@@ -210,25 +210,25 @@ def verified(docs: DataFrame, members: DataFrame) -> DataFrame:
 
     def compare(pdf):
         pdf = pdf.sort_values("doc_id")
-        found = linked(pdf["doc_id"].to_numpy(), [np.frombuffer(b, U) for b in pdf["items"]])
+        found = linked(pdf["doc_id"].to_numpy(), [np.frombuffer(b, U) for b in pdf["items"]], alike)
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return held.select("task", "doc_id", "items").groupBy("task").applyInPandas(compare, "a long, b long")
 
 
-def near_classes(docs: DataFrame) -> DataFrame:
+def near_classes(docs: DataFrame, alike: int = ALIKE) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
     got = reliable(measured(docs))
     classes = got.where("n_shingles > 0").groupBy("same").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"))
     members = reliable(bucket_members(classes.select(F.col("rep").alias("doc_id"), "bands")))
-    found = components(verified(docs, members))
+    found = components(verified(docs, members, alike))
     reps = got.where("n_shingles > 0").groupBy("same").agg(F.min("doc_id").alias("rep"))
     named = reps.join(found, F.col("rep") == F.col("node"), "left").select("same", F.coalesce("component", "rep").alias("component"))
     rest = got.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return got.where("n_shingles > 0").join(named, "same").select("doc_id", "n_shingles", F.col("component").alias("component_id")).union(rest)
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
+def keep_first(docs: DataFrame, alike: int = ALIKE) -> DataFrame:
     """docs without the rows that are not the first of their component; columns as given."""
-    gone = reliable(near_classes(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
+    gone = reliable(near_classes(docs, alike).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
     return docs.join(maybe_broadcast(gone, 16), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")

@@ -63,7 +63,7 @@ def op7_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    got = near.near_classes(table(spark, sf, "documents"))
+    got = near.near_classes(table(spark, sf, "documents"), near.ALIKE)
     return got.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 

@@ -1,6 +1,7 @@
 """The pipeline's stages against brute force: what an earlier stage decides must show in the result."""
 
 import hashlib
+import random
 from collections import Counter, defaultdict
 
 import pytest
@@ -9,7 +10,7 @@ pytest.importorskip("stayline.llm")
 from pyspark.sql import functions as F  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
-from stayline.llm import mixing, packing  # noqa: E402
+from stayline.llm import mixing, near, packing  # noqa: E402
 from stayline.llm.queries import tokenizer_path  # noqa: E402
 from tests.conftest import SMALL  # noqa: E402
 
@@ -75,3 +76,18 @@ def test_sequences_follow_the_order(spark):
         assert abs(r["doc_id"] - i) < 120
     plain = {r["sequence_id"] for r in packing.pack(table, tokenizer_path()).collect()}
     assert len(plain) == len({r["sequence_id"] for r in got})
+
+
+def test_near_copies_from_80(spark):
+    """Pairs of similarity 0.80 to 0.85 go from the pipeline and stay in op8; below 0.80 they stay in both."""
+    rng = random.Random(8)
+    rows, low = [], []
+    for i in range(60):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(204)]  # 200 shingles
+        edits = [20, 45, 70, 95] if i % 2 else [20, 45, 70, 95, 120]  # 5 shingles each: 180 of 220, 175 of 225
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join("X" if k in edits else w for k, w in enumerate(base)))]
+        low += [] if i % 2 else [2 * i + 1]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.drop_near_copies(spark, table, None)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted([*range(0, 120, 2), *low])
+    assert near.near_classes(table).where("doc_id <> component_id").count() == 0
