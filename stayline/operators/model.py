@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from stayline.functions import ranks
 from stayline.functions.timeline import overlap_join
 from stayline.operators.watch import curve_from_hazard, hazard_to_rate, rate_to_hazard
+from stayline.session import ensure_checkpoint_dir
 
 # Fixed values
 FEATURES = [
@@ -408,6 +409,7 @@ def flag_missing(df: DataFrame, features: list[str] = FEATURES) -> DataFrame:
 
 def fit_rate(train: DataFrame, features: list[str] = FEATURES, max_iter: int = MAX_ITER):
     """Boosted trees on the signed per-second rate. ``transform`` adds ``raw_rate``."""
+    ensure_checkpoint_dir(train.sparkSession)  # the rounds' lineage is cut there every ten rounds
     gbt = GBTRegressor(
         labelCol="signed_rate", predictionCol="raw_rate", maxIter=max_iter, stepSize=STEP, maxDepth=DEPTH,
         minInstancesPerNode=MIN_LEAF, seed=0,
@@ -417,6 +419,7 @@ def fit_rate(train: DataFrame, features: list[str] = FEATURES, max_iter: int = M
 
 def fit_drop_clf(train: DataFrame, features: list[str] = FEATURES, max_iter: int = MAX_ITER):
     """Boosted trees on "this segment is a major drop", first segments left out."""
+    ensure_checkpoint_dir(train.sparkSession)
     x = flag_missing(train.where("idx > 0"), features).withColumn("major", (F.col("hazard") >= MAJOR_DROP).cast("double"))
     gbt = GBTClassifier(labelCol="major", maxIter=max_iter, stepSize=STEP, maxDepth=DEPTH, minInstancesPerNode=MIN_LEAF, seed=0)
     return Pipeline(stages=[*_assembled(features), gbt]).fit(x)

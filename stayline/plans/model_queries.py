@@ -9,8 +9,6 @@ from stayline.plans import views as v
 from stayline.plans.watch_queries import lecture_curve, lecture_tiles
 from stayline.functions.textcols import words_of
 
-QUERY_ITER = 15  # boosting rounds in the registered queries; the library default is 300
-
 
 def _r(c, n=6):
     return F.round(F.col(c), n).alias(c)
@@ -200,20 +198,20 @@ def _split(spark, sf):
 def fit_rate(spark, sf):
     """Boosted and monotone additive rate for every test segment."""
     train, test = _split(spark, sf)
-    boosted = op.fit_rate(train, max_iter=QUERY_ITER)
-    monotone = op.fit_monotone_rate(train, rounds=1)
+    boosted = op.fit_rate(train)
+    monotone = op.fit_monotone_rate(train)
     x = boosted.transform(op.flag_missing(test)).withColumn("monotone", monotone.score())
     return x.select("video_id", "idx", F.greatest("raw_rate", F.lit(0.0)).alias("boosted_rate"), F.greatest("monotone", F.lit(0.0)).alias("monotone_rate"))
 
 
 def fit_drop_clf(spark, sf):
     train, test = _split(spark, sf)
-    return op.drop_probability(op.fit_drop_clf(train, max_iter=QUERY_ITER), test).select("video_id", "idx", "p_major")
+    return op.drop_probability(op.fit_drop_clf(train), test).select("video_id", "idx", "p_major")
 
 
 def ablations(spark, sf):
     train, test = _split(spark, sf)
-    return op.ablations(train, test, max_iter=5)
+    return op.ablations(train, test)
 
 
 QUERIES = {
