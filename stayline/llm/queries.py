@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stayline.llm import fingerprint, html, language, lines, mixing, near, packing, substrings, toxicity, vectors
+from stayline.llm import decontaminate, fingerprint, html, language, lines, mixing, near, packing, substrings, toxicity, vectors
 from stayline.llm.common import table
 
 
@@ -75,6 +75,18 @@ def op10_source_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(table(spark, sf, "documents").select("doc_id", "source"))
 
 
+def op11_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    got = decontaminate.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return got.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     import corpus_pipeline
 
@@ -85,6 +97,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_language_id, op2_document_fingerprints, op3_suffix_array_dedup, op4_embedding_near_dedup, op5_toxicity, op6_html_extraction,
-        op7_line_dedup, op8_minhash_near_dedup, op9_best_fit_packing, op10_source_mixing, pipeline,
+        op7_line_dedup, op8_minhash_near_dedup, op9_best_fit_packing, op10_source_mixing, op11_benchmark_decontamination, pipeline,
     )
 }

@@ -134,4 +134,31 @@ select d.doc_id, d.source, (d.r // 8) // h.a * h.q + o.t as mix_slot, (d.r % 8):
 from ranked d join shares h on h.s = d.s join round_of o on o.s = d.s and o.k = (d.r // 8) % h.a
 """
 
-SQL = {"op3_suffix_array_dedup": OP3, "op4_embedding_near_dedup": OP4, "op7_line_dedup": OP7, "op8_minhash_near_dedup": OP8, "op10_source_mixing": OP10}
+OP11 = r"""
+with docs as (
+  select row_number() over () as r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w
+  from documents
+),
+items as (
+  select item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w
+  from benchmark
+),
+windows as (
+  select distinct item_id, least(len(w), 10) as size, array_to_string(w[u.i:u.i + least(len(w), 10) - 1], ' ') as win
+  from (select * from items where len(w) > 0) x, lateral (select unnest(range(1, greatest(len(x.w) - 9, 1) + 1)) as i) u
+),
+places as (
+  select r, s.size, u.i, array_to_string(w[u.i:u.i + s.size - 1], ' ') as win
+  from docs d, (select distinct size from windows) s, lateral (select unnest(range(1, greatest(len(d.w) - s.size + 2, 1))) as i) u
+),
+hits as (select p.r, p.i, p.size, v.item_id from places p join windows v on p.size = v.size and p.win = v.win),
+touched as (select r, count(distinct i + u.k) as n from hits h, lateral (select unnest(range(0, h.size)) as k) u group by r),
+named as (select r, count(*) as n, string_agg(item_id::varchar, ',' order by item_id::varchar) as ids from (select distinct r, item_id from hits where item_id is not null) group by r)
+select d.doc_id, len(d.w)::bigint as n_words, coalesce(t.n, 0)::bigint as n_hit, coalesce(i.n, 0)::bigint as n_items,
+  sha256(coalesce(i.ids, '')) as items_sha256, coalesce(t.n, 0) > 0 as contaminated
+from docs d left join touched t on t.r = d.r left join named i on i.r = d.r
+"""
+
+SQL = {"op3_suffix_array_dedup": OP3, "op4_embedding_near_dedup": OP4, "op7_line_dedup": OP7, "op8_minhash_near_dedup": OP8, "op10_source_mixing": OP10, "op11_benchmark_decontamination": OP11}
