@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stayline.llm import decontaminate, fingerprint, html, language, lines, mixing, near, packing, substrings, toxicity, vectors
+from stayline.llm import decontaminate, divergence, fingerprint, html, language, lines, mixing, near, packing, search, substrings, toxicity, vectors
 from stayline.llm.common import table
 
 
@@ -87,6 +87,14 @@ def op11_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op12_source_divergence(spark: SparkSession, sf: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf, "documents"))
+
+
+def op13_ranked_search(spark: SparkSession, sf: str) -> DataFrame:
+    return search.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     import corpus_pipeline
 
@@ -97,6 +105,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_language_id, op2_document_fingerprints, op3_suffix_array_dedup, op4_embedding_near_dedup, op5_toxicity, op6_html_extraction,
-        op7_line_dedup, op8_minhash_near_dedup, op9_best_fit_packing, op10_source_mixing, op11_benchmark_decontamination, pipeline,
+        op7_line_dedup, op8_minhash_near_dedup, op9_best_fit_packing, op10_source_mixing, op11_benchmark_decontamination, op12_source_divergence,
+        op13_ranked_search, pipeline,
     )
 }

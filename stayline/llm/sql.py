@@ -161,4 +161,70 @@ select d.doc_id, len(d.w)::bigint as n_words, coalesce(t.n, 0)::bigint as n_hit,
 from docs d left join touched t on t.r = d.r left join named i on i.r = d.r
 """
 
-SQL = {"op3_suffix_array_dedup": OP3, "op4_embedding_near_dedup": OP4, "op7_line_dedup": OP7, "op8_minhash_near_dedup": OP8, "op10_source_mixing": OP10, "op11_benchmark_decontamination": OP11}
+OP12 = r"""
+with docs as (
+  select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
+    list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[\x00-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') as w
+  from documents
+),
+words as (select r, lang, source, unnest(w) as term from docs),
+terms as (select lang, term, count(*) as c from words group by lang, term having count(distinct r) >= 30),
+sizes as (select lang, count(*) as v, sum(c) as n from terms group by lang),
+counts as (select w.lang, w.source, w.term, count(*) as c from words w join terms t on t.lang = w.lang and t.term = w.term group by 1, 2, 3),
+groups as (select distinct lang, source from docs),
+totals as (
+  select g.lang, g.source, coalesce((select sum(c) from counts c where c.lang = g.lang and c.source = g.source), 0)::hugeint as n, coalesce(s.v, 0)::hugeint as v
+  from groups g left join sizes s on s.lang = g.lang
+),
+shares as (
+  select g.lang, g.source, t.term, coalesce(c.c, 0) as c, (1 + (1000000000::hugeint * (coalesce(c.c, 0) + 5)) // (g.n + 5 * g.v)) as p,
+    1 + (1000000000::hugeint * (t.c + 5)) // (s.n + 5 * s.v) as q
+  from totals g join terms t on t.lang = g.lang join sizes s on s.lang = g.lang left join counts c on c.lang = g.lang and c.source = g.source and c.term = t.term
+),
+pairs as (
+  select a.lang, a.source, b.source as item, coalesce((select sum(abs(x.p - y.p)) from shares x join shares y on y.lang = x.lang and y.term = x.term
+    where x.lang = a.lang and x.source = a.source and y.source = b.source), 0)::bigint as value
+  from groups a join groups b on a.lang = b.lang and a.source <> b.source
+),
+both_parts as (
+  select lang, source, 'pair' as part, item, value, row_number() over (partition by lang, source order by value desc, item) as rank from pairs
+  union all
+  select lang, source, 'term', term, (p - q)::bigint, row_number() over (partition by lang, source order by p - q desc, term) from shares where c > 0 and p > q
+)
+select lang, source, part, item, value, rank::int as rank from both_parts where part = 'pair' or rank <= 50
+"""
+
+OP13 = r"""
+with docs as (
+  select row_number() over () as r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') as w
+  from documents
+),
+items as (
+  select row_number() over () as i, item_id, unnest(list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')) as term
+  from benchmark
+),
+size as (select count(*)::bigint as n, sum(len(w))::bigint as l from docs where len(w) > 0),
+counts as (select r, term, count(*)::bigint as tf from (select r, unnest(w) as term from docs) group by r, term),
+held as (select term, count(*)::bigint as df from counts group by term),
+impacts as (
+  select c.r, c.term, (floor(1000 * ln((2 * s.n + 2)::double / (2 * h.df + 1)::double)))::bigint
+    * ((1000000000 * c.tf) // (1000 * c.tf + 8 * (100 - 75 + (75 * len(d.w)::bigint * s.n) // s.l))) as gain
+  from counts c join held h on h.term = c.term join docs d on d.r = c.r, size s
+  where c.term in (select term from items)
+),
+wanted as (select i, item_id, term, count(*)::bigint as k from items group by 1, 2, 3),
+scores as (
+  select w.i, w.item_id, m.r, sum(w.k * m.gain)::bigint as score from wanted w join impacts m on m.term = w.term group by 1, 2, 3
+),
+ranked as (
+  select s.item_id, row_number() over (partition by s.i order by s.score desc, d.doc_id)::int as rank, d.doc_id, s.score
+  from scores s join docs d on d.r = s.r where s.score > 0
+)
+select item_id, rank, doc_id, score from ranked where rank <= 10
+"""
+
+SQL = {"op3_suffix_array_dedup": OP3, "op4_embedding_near_dedup": OP4, "op7_line_dedup": OP7, "op8_minhash_near_dedup": OP8, "op10_source_mixing": OP10, "op11_benchmark_decontamination": OP11,
+       "op12_source_divergence": OP12, "op13_ranked_search": OP13}
