@@ -123,9 +123,66 @@ def test_html(spark):
 
 
 def test_lines(spark):
-    got = {r["doc_id"]: r for r in lines.drop_lines(docs(spark, TEXTS).drop("_kept")).collect()}
+    got = {r["doc_id"]: r for r in lines.drop_lines(docs(spark, TEXTS)).collect()}
     assert got[3]["_n_dropped"] == 0 and got[4]["_kept"] == "" and got[6]["_kept"] == "ok" and got[0]["_kept"] is None and got[2]["_n_dropped"] == 0
-    assert lines.drop_lines(docs(spark, []).drop("_kept")).count() == 0
+    assert lines.drop_lines(docs(spark, [])).count() == 0
+
+
+def within_one_edit(a, b):
+    if abs(len(a) - len(b)) > 1:
+        return False
+    k = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    return any(a[k + x :] == b[k + y :] for x, y in ((1, 1), (1, 0), (0, 1)) if x <= len(a) - k and y <= len(b) - k) or a == b
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_lines_against_all_pairs(spark, seed):
+    """Edits at every place of lines of many lengths, shared halves without an edit, repeated and null ids."""
+    rng = random.Random(seed)
+    make = lambda n: "".join(rng.choice("abc ") for _ in range(n - 1)) + "x"
+    base = [make(n) for n in (16, 17, 18, 19, 23, 31, 32, 33, 40, 64, 65, 100, 257, 15, 8)]
+    rows = []
+    for i in range(50):
+        text = []
+        for _ in range(rng.randint(1, 7)):
+            b = rng.choice(base)
+            k = rng.randrange(len(b))
+            far = b[: len(b) // 2] + make(len(b) - len(b) // 2)
+            text.append(rng.choice([b, b[:k] + "Q" + b[k + 1 :], b[:k] + b[k + 1 :], b[:k] + "Z" + b[k:], far, "", "  ", make(rng.randint(1, 60))]))
+        rows.append((rng.choice([i, i, i, None, 7]), "\n".join(text)))
+    rows += [rows[0], (999, None), (1000, "")]
+    order = lambda r: (r[0] is not None, r[0] or 0)
+    places = {}
+    for doc in set(rows):
+        for n, line in enumerate((doc[1] or "").split("\n")):
+            if line.strip():
+                places.setdefault(line, []).append((*order(doc), doc, n))
+    got = lines.drop_lines(spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, doc int").repartition(3))
+    kept = {}
+    for r in got.collect():
+        kept.setdefault((r["doc_id"], r["text"]), set()).add(r["_kept"])
+    marks = {r["text"]: r["m"] for r in got.selectExpr("text", "xxhash64(text) AS m").collect()}
+    key = lambda p: (p[0], p[1], marks[p[2][1]], p[3])
+    first = {line: min(map(key, p)) for line, p in places.items()}
+    for doc in set(rows):
+        if doc[1] is None:
+            assert kept[doc] == {None}
+            continue
+        want = []
+        for n, line in enumerate(doc[1].split("\n")):
+            here = (*order(doc), marks[doc[1]], n)
+            near = any(first[o] < first[line] and len(o) >= 15 and len(line) >= 15 and max(len(o), len(line)) >= 16 and min(len(o), len(line)) >= 16 and within_one_edit(o, line) for o in first) if line.strip() else False
+            if not line.strip() or not (here > first[line] or near):
+                want.append(line)
+        assert kept[doc] == {"\n".join(want)}
+
+
+@pytest.mark.parametrize("texts", [["a", "b"], ["", "a b c"], [" a b", "c"], ["a"], [], ["", " "], ["a b c d", "e"], ["a b c d e", "f"], ["a b c d e f"]])
+def test_shingles_of_few_words(texts):
+    """Groups of texts with 0 to 6 words in all."""
+    got = near.shingle_sets(texts)
+    assert [len(s) for s in got] == [max(0, min(1, len(t.split())), len(t.split()) - 4) for t in texts]
+    assert all((a == b).all() for a, b in zip(got, [near.shingle_sets([t])[0] for t in texts]))
 
 
 def test_near(spark):
