@@ -88,7 +88,7 @@ def _sets(raw: list[bytes], words: int) -> list[np.ndarray]:
     n = len(word)
     shingle = np.zeros(n, U)
     for j in range(words):
-        shingle[: n - j] += mixed(word[j:], 10 + j)
+        shingle[: max(0, n - j)] += mixed(word[j:], 10 + j)
     shingle = mixed(shingle, 3)
     first = np.cumsum(per) - per
     out = []
