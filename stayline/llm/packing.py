@@ -51,7 +51,7 @@ def byte_letters() -> dict[str, int]:
 
 
 def encoder(path: str) -> tuple:
-    """The worker's encoder of a tokenizer file and its table of words seen.
+    """The worker's encoder of a tokenizer file, its table of words seen, the tokenizer, and its special tokens' texts.
 
     The vocabulary is read by tokenizers; its ids, which are the merge order, go to the faster merge loop of
     tiktoken, which gives the same ids (the tests compare both).
@@ -61,10 +61,11 @@ def encoder(path: str) -> tuple:
         from tokenizers import Tokenizer
 
         of = byte_letters()
-        special = {t.content for t in Tokenizer.from_file(path).get_added_tokens_decoder().values()}
-        words = {w: i for w, i in Tokenizer.from_file(path).get_vocab().items() if w not in special}
+        tokenizer = Tokenizer.from_file(path)
+        special = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
+        words = {w: i for w, i in tokenizer.get_vocab().items() if w not in special}
         ranks = {bytes(of[c] for c in w): i for w, i in words.items()}
-        _kept[path] = (tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), {})
+        _kept[path] = (tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), {}, tokenizer, sorted(special))
     return _kept[path]
 
 
@@ -72,9 +73,14 @@ def token_bytes(texts: list[str], path: str) -> list[bytes]:
     """The ids of each text as little-endian unsigned 32-bit numbers.
 
     Byte-level pre-tokenization never joins what a space after a non-blank divides, so a text's ids
-    are its words' ids in a row; words are looked up, and new ones of all texts encoded together.
+    are its words' ids in a row; words are looked up, and new ones of all texts encoded together. A text that spells
+    out a special token goes to the tokenizer itself, which gives that token's id.
     """
-    enc, known = encoder(path)
+    enc, known, tokenizer, special = encoder(path)
+    spelled = [any(s in text for s in special) for text in texts]
+    if any(spelled):
+        usual = iter(token_bytes([t for t, s in zip(texts, spelled) if not s], path))
+        return [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if s else next(usual) for t, s in zip(texts, spelled)]
     if len(known) > WORDS_KEPT:
         known.clear()
     split = []

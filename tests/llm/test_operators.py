@@ -122,6 +122,28 @@ def test_html(spark):
     assert html.extracted(rows, model).count() == 3
 
 
+def test_html_without_the_end_of_its_head():
+    for head in ("<head><title>t</title>", "<head><meta charset=x><script>1<2</script>", "<head><style>p{}</style><noscript><p>no</p></noscript>"):
+        for body in ("<body><article><p>one</p></article>", "<div><p>one</p></div>", "<article>one</article>"):
+            assert [t for _, t, _ in html.blocks_of(f"<html>{head}{body}")] == ["one"]
+    assert [t for _, t, _ in html.blocks_of("<head><title>t</title></head><p>one")] == ["one"]
+    rng = np.random.default_rng(1)
+    long = list(range(1000))
+    seen = {x for _ in range(60) for x in html.window(long, rng)}
+    assert html.window(long[:400], rng) == long[:400] and len(html.window(long, rng)) == 400 and min(seen) < 50 and max(seen) > 950
+
+
+def test_null_ids_are_marked(spark, tmp_path):
+    from stayline.llm import queries
+
+    rows = [(None, "the thing and with the", "en", "a", 1), (1, "the thing and with the", "en", "a", 1), (2, "und der nicht", "de", "a", 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 0, 1), (2, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for query in (queries.op1_language_id, queries.op5_toxicity):
+        assert {r["held_out"] for r in query(spark, str(tmp_path)).collect() if r["doc_id"] is None} == {False}
+    assert all(r["kept"] is not None for r in queries.op8_minhash_near_dedup(spark, str(tmp_path)).collect())
+
+
 def test_lines(spark):
     got = {r["doc_id"]: r for r in lines.drop_lines(docs(spark, TEXTS)).collect()}
     assert got[3]["_n_dropped"] == 0 and got[4]["_kept"] == "" and got[6]["_kept"] == "ok" and got[0]["_kept"] is None and got[2]["_n_dropped"] == 0
@@ -203,8 +225,7 @@ def test_packing(spark):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(tokenizer_path())
-    tok.encode_special_tokens = True
-    texts = ["", " x", "a  b\n\n c", "it's <|endoftext|> fine", "Ünïcödé und so\nweiter ", "word " * 3000]
+    texts = ["", " x", "a  b\n\n c", "it's <|endoftext|> fine", "<|endoftext|>", "a<|endoftext|><|endoftext|> b", "<|endoftext", "Ünïcödé und so\nweiter ", "word " * 3000]
     want = [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch(texts, add_special_tokens=False)]
     assert packing.token_bytes(texts, tokenizer_path()) == want
     got = packing.pack(docs(spark, [*texts, None]), tokenizer_path()).collect()
