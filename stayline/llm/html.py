@@ -31,6 +31,8 @@ HIDDEN = 16
 #: pages that training reads (an expected number, drawn by a hash of the id)
 SAMPLE = 300
 EPOCHS = 8
+#: blocks of a training copy that are read at once
+LONGEST = 400
 #: fixed lists of the markup language
 SKIPPED = {"script", "style", "head", "title", "noscript", "template", "textarea", "select", "option", "svg", "iframe", "object"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -39,6 +41,8 @@ INLINE = {
     "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr",
 }
 CLOSES_P = {"p", "div", "ul", "ol", "li", "h1", "h2", "h3", "h4", "h5", "h6", "article", "section", "nav", "footer", "header", "aside", "table", "form", "pre", "blockquote", "figure", "main", "hr", "dl", "address", "details", "fieldset"}
+#: what may stand in a head; any other tag ends a head whose end tag is left out
+IN_HEAD = {"base", "link", "meta", "noscript", "script", "style", "template", "title"}
 ASIDE_TAGS = {"nav", "header", "footer", "aside", "form", "button", "dialog", "menu"}
 ASIDE_WORDS = {
     "ad", "ads", "advert", "adverts", "advertisement", "banner", "breadcrumb", "comment", "comments", "consent", "cookie", "cookies", "disqus", "footer",
@@ -70,6 +74,8 @@ class Blocks(HTMLParser):
             self.flush()
         if tag == "br":
             self.parts.append(" ")
+        if tag not in IN_HEAD and "head" in (t for t, _ in self.stack) and self.stack[-1][0] not in IN_HEAD:
+            self.close_to("head")
         if tag in CLOSES_P and any(t == "p" for t, _ in self.stack):
             self.close_to("p")
         if tag == "li" and any(t == "li" for t, _ in self.stack):
@@ -259,6 +265,14 @@ def planted(blocks: list, others: list, rng: np.random.Generator) -> list:
     return out
 
 
+def window(blocks: list, rng: np.random.Generator) -> list:
+    """A training copy's blocks; of one with more than LONGEST, a run that starts anywhere in it."""
+    if len(blocks) <= LONGEST:
+        return blocks
+    at = int(rng.integers(0, len(blocks) - LONGEST + 1))
+    return blocks[at : at + LONGEST]
+
+
 def fit(pages: list[str], epochs: int = EPOCHS) -> dict | None:
     read = [b for b in map(blocks_of, pages) if b]
     others = [text for b in read for _, text, _ in b]
@@ -270,7 +284,7 @@ def fit(pages: list[str], epochs: int = EPOCHS) -> dict | None:
     n = 0
     for _ in range(epochs):
         made = [planted(b, others, rng) if rng.random() < 0.7 else b for b in read]
-        made = [b[:400] for b in made]  # of a training copy only
+        made = [window(b, rng) for b in made]
         order = rng.permutation(len(made))
         for at in range(0, len(order), 16):
             some = [made[i] for i in order[at : at + 16]]
