@@ -17,7 +17,7 @@ def tokenizer_path() -> str:
 def op1_language_id(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
     model = language.train(language.not_held_out(docs))
-    held_out = F.expr("crc32(cast(doc_id AS string)) % 3 = 1").alias("held_out")
+    held_out = F.expr("coalesce(crc32(cast(doc_id AS string)) % 3 = 1, false)").alias("held_out")
     return language.identify(docs, model, "doc_id").select("doc_id", held_out, "lang_pred", "score", "ambiguous")
 
 
@@ -40,7 +40,7 @@ def op5_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     got = toxicity.scored(docs, model)
     return got.select(
         "doc_id",
-        F.expr("crc32(cast(doc_id AS string)) % 4 = 2").alias("held_out"),
+        F.expr("coalesce(crc32(cast(doc_id AS string)) % 4 = 2, false)").alias("held_out"),
         "score",
         F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"),
     )
@@ -64,7 +64,7 @@ def op7_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 def op8_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     got = near.near_classes(table(spark, sf, "documents"), near.ALIKE)
-    return got.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return got.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def op9_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
