@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from checks.sql_semantic import SEGF
-from checks.sql_text import MARKS, PLAIN, SENTS, TOKENS, TURNS, features, inlist, lit
+from checks.sql_text import MARKS, PLAIN, SOFT, SOFT_SENTS, TOKENS, TURNS, features, inlist, lit
 from stayline.functions import lexicon as lex
 from stayline.operators import rules, scores
 
@@ -79,7 +79,7 @@ rn as (select *, sum(f) over (partition by video_id order by idx) as run from st
 NAMES = "case visual_type " + " ".join(f"when '{k}' then {lit(n)}" for k, n in rules.VISUAL_NAMES.items()) + " end"
 FIXES = "case vt " + " ".join(f"when '{k}' then {lit(n)}" for k, n in rules.VISUAL_FIX.items()) + " end"
 
-LINES = PLAIN + MARKS + SENTS + "," + features("sents", "sf") + """,
+LINES = PLAIN + MARKS + SOFT + SOFT_SENTS + "," + features("sents", "sf") + """,
 mids as (select video_id, count(*) // 2 as mid from sf group by 1),
 titles as (select s.video_id, s.text as title, s.tokens as ttoks from sf s join mids m on m.video_id = s.video_id and s.sent_idx = m.mid)"""
 CUES = lex.flat(lex.PROMISE_CUES)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from checks.sql_detect import CHECKS, FLAGS, LEDGER, POINTS, WORDS, mmss
 from checks.sql_semantic import SEGF
-from checks.sql_watch import LECT
+from checks.sql_watch import CAPS, LECT, LECTURE_WATCH, chain
 
 DONE = "round((event_id * 37 % 5800) / 10::double, 1)"
 PLAN = f"""with plans as (select distinct event_id // 20 as plan_id, 600::double as duration_s from events),
@@ -17,25 +17,95 @@ cus as (select event_id // 20 as plan_id, 'c' || (event_id % 20) as id, (event_i
   case when event_id % 8 = 7 then 590::double + event_id % 9 else {DONE} end as start,
   case when event_id % 8 = 3 then 1::double + event_id % 11 else {DONE} + 2 + event_id % 17 end as "end", 1.25::double + (event_id % 3) * 0.25::double as factor
   from events where event_type = 'error')"""
-ONE = f""",
-one0 as (select event_id // 20 as plan_id, min(event_id) as event_id from events where event_type in ('click', 'error') group by 1),
-one as (select o.plan_id, {DONE.replace('event_id', 'o.event_id')} as a, {DONE.replace('event_id', 'o.event_id')} + 5 + o.event_id % 40 as b,
-  case when e.event_type = 'error' then 0.5::double else 1::double end as gone from one0 o join events e using (event_id)),
+#: every plan's whole list of edits: suggested cuts in (start, id) order, then the editor's own; one that overlaps
+#: an accepted one is left out
+WHOLE = PLAN.replace("with plans", "with recursive plans", 1) + """,
+q0 as (
+  select plan_id, 0 as grp, start as o1, id as o2, 0 as o3, start as a, "end" as b, 'infinity'::double as f, id, false as custom, action = 'CUT' and "end" > start as ok from sug
+  union all
+  select plan_id, 1, 0, '', pos, a, b, f, id, true, b > a from (
+    select plan_id, pos, id, greatest(0, case when action = 'TRIM_START' then 0 else start end) as a, least(600, case when action = 'TRIM_END' then 600 else "end" end) as b,
+      case when action = 'SPEED' then factor else 'infinity'::double end as f from cus)),
+q as (select *, row_number() over (partition by plan_id order by grp, o1, o2, o3) as n from q0),
+grow(plan_id, n, ops) as (
+  select plan_id, 0::bigint, []::struct(a double, b double, f double, id varchar, custom boolean)[] from plans
+  union all
+  select g.plan_id, q.n, case when q.ok and len(list_filter(g.ops, lambda o: q.a < o.b and q.b > o.a)) = 0
+    then list_append(g.ops, struct_pack(a := q.a, b := q.b, f := q.f, id := q.id, custom := q.custom)) else g.ops end
+  from grow g join q on q.plan_id = g.plan_id and q.n = g.n + 1),
+taken as (select plan_id, arg_max(ops, n) as took, list_sort(arg_max(ops, n)) as ops from grow group by 1),
 segs as (select plan_id, idx, idx * 12::double as start, idx * 12::double + 12 as "end", ((plan_id * 7 + idx * 13) % 40) / 10000::double as rate,
   -0.02::double - (idx % 5) / 100::double as lo, 0.03::double + (idx % 4) / 100::double as hi from plans, (select unnest(range(0, 50)) as idx)),
-kd as (select s.*, greatest(0, least("end", b) - a) * gone as saved, "end" - start - (greatest(0, least("end", b) - a) * gone - greatest(0, least(start, b) - a) * gone) as kept
-  from segs s join one using (plan_id))"""
-EACH = """,
-each0 as (select event_id // 20 as plan_id, event_type, min(event_id) as n from events where event_type in ('click', 'signup') group by 1, 2),
-cuts as (select plan_id, n * 7 % 180 + 0.5::double as a, n * 7 % 180 + 0.5::double + 5 + n % 15 as b from each0 where event_type = 'click'),
-moves as (select plan_id, 200 + n * 11 % 180 + 0.25::double as a, 200 + n * 11 % 180 + 0.25::double + 5 + n % 15 as b, (400 + n * 13 % 190)::double as t from each0 where event_type = 'signup'),
-pts0 as (select plan_id, 0::double as p from plans union select plan_id, duration_s from plans union select plan_id, a from cuts union select plan_id, b from cuts
-  union select plan_id, a from moves union select plan_id, b from moves union select plan_id, t from moves),
+gone as (select s.*, list_transform(t.ops, lambda o: (greatest(0, least(s."end", o.b) - o.a)) * (1 - case when isinf(o.f) then 0 else 1 / o.f end)) as z,
+  list_transform(t.ops, lambda o: (greatest(0, least(s.start, o.b) - o.a)) * (1 - case when isinf(o.f) then 0 else 1 / o.f end)) as y from segs s join taken t using (plan_id)),
+kd as (select * exclude (z, y), coalesce(list_sum(z), 0) as saved, "end" - start - (coalesce(list_sum(z), 0) - coalesce(list_sum(y), 0)) as kept from gone)"""
+
+
+def simulated(kept, name):
+    """Points (plan_id, idx, t, retention, lower, upper) of rows with ``saved`` and ``kept``."""
+    return f""",
+{name}_h as (select *, product(exp(-greatest(rate, 0) * greatest(kept, 0))) over (partition by plan_id order by idx) as raw from {kept}),
+{name}_r as (select *, min(least(1, greatest(0, pow(raw, 0.8::double)))) over (partition by plan_id order by idx) as r from {name}_h),
+{name}_l as (select *, min(least(1, greatest(0, r + lo))) over (partition by plan_id order by idx) as l, least(1, greatest(0, r + hi)) as u from {name}_r),
+{name} as (
+  select plan_id, idx::int as idx, round_even("end" - saved, 3) as t, round_even(r, 4) as retention, round_even(least(l, r), 4) as lower, round_even(greatest(u, r), 4) as upper from {name}_l where kept > 1e-6
+  union all select plan_id, -1, 0, 1, 1, 1 from plans),
+{name}_n as (select *, lead(t) over (partition by plan_id order by t, idx) as t2, lead(retention) over (partition by plan_id order by t, idx) as r2 from {name}),
+{name}_a as (select plan_id, case when max(t) > 0 then sum((t2 - t) * (retention + r2) / 2) / max(t) else 1 end as avg_r, arg_max(retention, struct_pack(a := t, b := idx)) as end_r from {name}_n group by 1)"""
+
+
+#: the older conflict rule, then blocks: cuts drop theirs, moves play theirs before the block at the target
+KEPT = PLAN.replace("with plans", "with recursive plans", 1) + """,
+rq as (select *, row_number() over (partition by plan_id order by start, id) as n from sug),
+hold(plan_id, n, acc) as (
+  select plan_id, 0::bigint, []::struct(a double, b double, action varchar, t double, id varchar)[] from plans
+  union all
+  select h.plan_id, q.n, case when q.action not in ('CUT', 'MOVE') or q."end" <= q.start
+      or len(list_filter(h.acc, lambda k: (q.start < k.b and q."end" > k.a) or (k.action = 'MOVE' and q.start < k.t and k.t < q."end"))) > 0
+      or (q.action = 'MOVE' and len(list_filter(h.acc, lambda k: q.target_time < k.b and q.target_time > k.a)) > 0)
+    then h.acc else list_append(h.acc, struct_pack(a := q.start, b := q."end", action := q.action, t := q.target_time, id := q.id)) end
+  from hold h join rq q on q.plan_id = h.plan_id and q.n = h.n + 1),
+held as (select plan_id, arg_max(acc, n) as acc from hold group by 1),
+res as (select plan_id, k.a, k.b, k.action, k.t, k.id from (select plan_id, unnest(acc) as k from held)),
+cuts as (select plan_id, a, b from res where action = 'CUT'),
+moves as (select plan_id, a, b, t from res where action = 'MOVE'),
+pts0 as (select plan_id, p from (select plan_id, a as p from res union select plan_id, b from res union select plan_id, t from moves) where p between 0 and 600
+  union select plan_id, 0::double from plans union select plan_id, duration_s from plans),
 blk as (select plan_id, p as a, lead(p) over (partition by plan_id order by p) as b from pts0),
-kb as (select k.*, m.t is not null as moved, case when m.t is not null then m.t else k.a end as k1 from blk k left join moves m on m.plan_id = k.plan_id and k.a >= m.a and k.b <= m.b
-  where k.b is not null and not exists (select 1 from cuts c where c.plan_id = k.plan_id and k.a >= c.a and k.b <= c.b)),
-ob as (select *, row_number() over w as place, coalesce(sum(b - a) over (partition by plan_id order by k1, not moved, a rows between unbounded preceding and 1 preceding), 0) as new_start
-  from kb window w as (partition by plan_id order by k1, not moved, a))"""
+cls as (select k.*, m.a as ma, m.t as mt, exists (select 1 from cuts c where c.plan_id = k.plan_id and k.a >= c.a and k.b <= c.b) as is_cut
+  from blk k left join moves m on m.plan_id = k.plan_id and k.a >= m.a and k.b <= m.b where k.b is not null),
+kb as (select plan_id, a, b, a as k1, 1 as k2, 0::double as k3 from cls where ma is null and not is_cut
+  union all select c.plan_id, c.a, c.b, c.mt, 0, c.ma from cls c where c.ma is not null and exists (select 1 from cls x where x.plan_id = c.plan_id and x.a = c.mt and x.ma is null and not x.is_cut)),
+ob as (select *, row_number() over w as place, coalesce(sum(b - a) over (partition by plan_id order by k1, k2, k3, a rows between unbounded preceding and 1 preceding), 0) as new_start
+  from kb window w as (partition by plan_id order by k1, k2, k3, a))"""
+
+
+def split(ps, t):
+    return f"flatten(list_transform({ps}, lambda p: case when p.s < {t} and {t} < p.e then [struct_pack(s := p.s, e := {t}, f := p.f), struct_pack(s := {t}, e := p.e, f := p.f)] else [p] end))"
+
+
+#: what is kept or sped up, in source order, then each move in (start, id) order: its pieces go before the first
+#: of the others that starts at its target or later
+PIECES = (WHOLE + """,
+gaps as (select plan_id, ops, list_concat([0::double], list_transform(ops, lambda o: o.b)) as lo, list_concat(list_transform(ops, lambda o: o.a), [600::double]) as hi from taken),
+base as (select plan_id, flatten(list_transform(range(1, len(lo) + 1), lambda i: list_concat(
+    case when hi[i] > lo[i] then [struct_pack(s := lo[i], e := hi[i], f := 1::double)] else [] end,
+    case when i <= len(ops) and not isinf(ops[i].f) then [struct_pack(s := ops[i].a, e := ops[i].b, f := ops[i].f)] else [] end))) as ps from gaps),
+mq as (select *, row_number() over (partition by plan_id order by start, id) as n from sug where action = 'MOVE' and target_time is not null),
+moved(plan_id, n, ps, ids) as (
+  select plan_id, 0::bigint, ps, []::varchar[] from base
+  union all
+  select plan_id, n, case when inert or len(mine) = 0 then old else list_concat(list_concat(rest[1:before], mine), rest[before + 1:len(rest)]) end, case when inert or len(mine) = 0 then ids else list_append(ids, id) end
+  from (select *, coalesce(list_min(list_filter(list_transform(rest, lambda p, i: case when p.s >= target_time then i - 1 end), lambda i: i is not null)), len(rest)) as before
+    from (select *, list_filter(cut, lambda p: p.s >= start and p.e <= stop) as mine, list_filter(cut, lambda p: not (p.s >= start and p.e <= stop)) as rest
+      from (select *, """ + split("cut2", "target_time") + """ as cut from (select *, """ + split("cut1", "stop") + """ as cut2 from (
+        select m.plan_id, q.n, q.id, q.start, q."end" as stop, q.target_time, m.ids, m.ps as old, q.start <= q.target_time and q.target_time <= q."end" as inert, """
+    + split("m.ps", "q.start") + """ as cut1
+        from moved m join mq q on q.plan_id = m.plan_id and q.n = m.n + 1)))))),
+done as (select plan_id, list_filter(arg_max(ps, n), lambda p: p.e - p.s >= 0.25::double) as ps, arg_max(ids, n) as ids from moved group by 1),
+listed as (select plan_id, ps, ids, round_even(coalesce(list_sum(list_transform(ps, lambda p: (p.e - p.s) / p.f)), 0), 3) as output_duration_s,
+  left(sha256('[' || array_to_string(list_transform(ps, lambda p: '[' || round_even(p.s, 3) || ', ' || round_even(p.e, 3) || ', ' || round_even(p.f, 4) || ']'), ', ') || ']'), 16) as plan_key from done)
+select plan_id, list_transform(ps, lambda p: p.s) as starts, list_transform(ps, lambda p: p.e) as ends, list_transform(ps, lambda p: p.f) as factors, ids as moved, output_duration_s, plan_key from listed""")
 # pieces are not cut where nothing happens: neighbours that continue in source and in play order join,
 # except at a move's target
 SIG = SEGF + POINTS + CHECKS + LEDGER + FLAGS
@@ -86,28 +156,38 @@ mets as (""" + " union all ".join([
 ]) + ")"
 LIMITS = "n_starters >= 3 and duration_s between 180 and 1500 and lines >= 20"
 
+#: the curve build: watch intervals under caption ids, lectures as long as their captions
+BUILT = "with" + LECTURE_WATCH.replace("watch as (", "watch0 as (") + "," + CAPS + """,
+cmeta as (select ccid as video_id, max(e) as duration_s, count(*)::int as lines from lines group by 1),
+ids as (select distinct 'u' || user_id as video, (user_id % 400)::varchar as cc from events where user_id % 17 <> 0),
+watch as (select viewer_id || '/' || video_id as viewer_id, cc as video_id, start_point, end_point from watch0 join ids on video = video_id where cc in (select video_id from cmeta)),""" + chain(60).replace(
+    "max(last) as duration_s, sum(n)::bigint as lines\n  from entries group by 1", "any_value(m.duration_s) as duration_s, any_value(m.lines) as lines\n  from entries join cmeta m using (video_id) group by 1"
+).replace("tiles0 as", "tiles0 as") + """,
+top as (select * from lec where n_starters >= 2 and duration_s between 20 and 1500 and lines >= 5 order by n_starters desc, video_id limit 40)"""
+
 SQL = {
-    "kept_duration": PLAN + ONE + " select plan_id, idx, round(saved, 6) as saved, round(kept, 6) as kept from kd",
-    "simulate_exposure": PLAN + ONE + """,
-h as (select *, product(exp(-greatest(rate, 0) * greatest(kept, 0))) over (partition by plan_id order by idx) as raw from kd),
-r as (select *, pow(raw, 0.8::double) as r from h),
-l as (select *, min(least(1, greatest(0, r + lo))) over (partition by plan_id order by idx) as l, least(1, greatest(0, r + hi)) as u from r)
-select plan_id, idx::int as idx, round_even("end" - saved, 3) as t, round_even(r, 4) as retention, round_even(least(l, r), 4) as lower, round_even(greatest(u, r), 4) as upper from l where kept > 1e-6
-union all select plan_id, -1, 0, 1, 1, 1 from one""",
+    "edit_ops": WHOLE + """
+select plan_id, list_transform(ops, lambda o: o.a) as starts, list_transform(ops, lambda o: o.b) as ends, list_transform(list_filter(took, lambda o: not o.custom), lambda o: o.id) as applied,
+  coalesce((select list(q.id order by q.n) from q where q.plan_id = t.plan_id and not q.custom and len(list_filter(t.took, lambda o: not o.custom and o.id = q.id)) = 0), []) as skipped,
+  list_transform(list_filter(took, lambda o: o.custom), lambda o: o.id) as applied_custom from taken t""",
+    "kept_duration": WHOLE + " select plan_id, idx, round(saved, 6) as saved, round(kept, 6) as kept from kd",
+    "simulate_exposure": WHOLE + simulated("kd", "sim") + " select * from sim",
+    "simulate_conflicting": WHOLE + simulated("kd", "sim") + " select * from sim",
+    "retention_delta": WHOLE + ", plain as (select *, 0::double as saved, \"end\" - start as kept from segs)" + simulated("kd", "sim") + simulated("plain", "orig") + """
+select plan_id, round_even(100 * (s.end_r - o.end_r), 1) as end_retention_pp, round_even(100 * (s.avg_r - o.avg_r), 1) as avg_retention_pp from sim_a s join orig_a o using (plan_id)""",
+    "resolve_edits": KEPT + """
+select plan_id, list_transform(acc, lambda k: k.id) as kept,
+  coalesce((select list(q.id order by q.n) from rq q where q.plan_id = h.plan_id and len(list_filter(h.acc, lambda k: k.id = q.id)) = 0), []) as skipped from held h where plan_id in (select plan_id from sug)""",
     "avg_retention": SEGF + POINTS + """,
 n as (select *, lead(t) over (partition by video_id order by t) as t2, lead(retention) over (partition by video_id order by t) as r2 from pts)
 select video_id, round(sum((t2 - t) * (retention + r2) / 2) / max(t), 6) as avg_retention, round(arg_max(retention, t), 6) as end_retention from n group by 1""",
-    "edit_blocks": PLAN + EACH + " select plan_id, place, a, b, round(new_start, 4) as new_start from ob",
-    "apply_edits": PLAN + EACH + """,
+    "edit_blocks": KEPT + " select plan_id, place, a, b, round(new_start, 4) as new_start from ob",
+    "apply_edits": KEPT + """,
 w as (select plan_id, j as word_idx, 'w' || j as text, j * 2::double + 0.2::double as start, j * 2::double + 1.3::double as "end" from plans, (select unnest(range(0, 300))::int as j)),
 m as (select w.*, o.place, o.new_start - o.a as off from w join ob o on o.plan_id = w.plan_id and (w.start + w."end") / 2 >= o.a and (w.start + w."end") / 2 < o.b)
 select plan_id, (row_number() over (partition by plan_id order by place, word_idx) - 1)::int as new_idx, word_idx, text, round_even(start + off, 3) as start, round_even("end" + off, 3) as "end" from m""",
-    "edit_pieces": PLAN + EACH + """,
-bp as (select o.*, exists (select 1 from moves m where m.plan_id = o.plan_id and (m.a = o.a or m.b = o.a or m.t = o.a)) or exists (select 1 from cuts c where c.plan_id = o.plan_id and c.b = o.a) or o.a = 0 as fresh from ob o),
-big as (select * from bp where b - a >= 0.25::double),
-l as (select plan_id, list(a order by place) as starts, list(b order by place) as ends, sum(b - a) as total,
-  '[' || string_agg('[' || round_even(a, 3) || ', ' || round_even(b, 3) || ', 1.0]', ', ' order by place) || ']' as raw from big group by 1)
-select plan_id, starts, ends, round_even(total, 3) as output_duration_s, (exists (select 1 from moves m where m.plan_id = l.plan_id))::int as n_moved, left(sha256(raw), 16) as plan_key from l""",
+    "edit_pieces": PIECES,
+    "edit_pieces_full": PIECES,
     "skip_ranges": PLAN + """,
 r as (select plan_id, start as s, "end" as e from sug where action in ('CUT', 'SHORTEN') union all select plan_id, start, "end" from cus where action <> 'SPEED'),
 f as (select *, case when s <= max(e) over (partition by plan_id order by s, e rows between unbounded preceding and 1 preceding) then 0 else 1 end as n from r),
@@ -157,10 +237,15 @@ select id as video_id, case when len(reasons) = 0 then 'accepted' else 'rejected
     "sink_artifacts": """
 with r as (select user_id as video_id, event_type as kind, epoch_us(ts) as created_at, 'v' || (event_id % 3) as version, event_id::varchar as payload,
   row_number() over (partition by user_id, event_type order by ts desc, event_id % 3 desc, event_id::varchar desc) as n from events) select * exclude (n) from r where n = 1""",
-    "sink_curves": LECT + f""",
-top as (select * from lec where {LIMITS} order by n_starters desc, video_id limit 40)
-select t.video_id, case when ('0x' || substr(sha256(t.video_id), 1, 8))::bigint % 10000 < 2000 then 'test' else 'train' end as split, n_starters, n_viewers, round_even(t.duration_s, 3) as duration_s,
-  count(*)::int as n, round(sum(round_even(retention, 4)), 3) as total from top t join curve c using (video_id) group by all""",
+    "sink_curves": BUILT + """
+select t.video_id, case when ('0x' || substr(sha256(t.video_id), 1, 8))::bigint % 10000 < 2000 then 'test' else 'train' end as split, n_starters, n_viewers,
+  round_even(t.duration_s, 3) as duration_s, list(round_even(retention, 4) order by c.t) as retention from top t join curve c using (video_id) group by all""",
+    "sink_captions": BUILT + """
+select ccid, round(duration_s, 4) as duration_s, len(text)::int as lines, text from caps join cmeta on video_id = ccid where ccid in (select video_id from top)""",
+    "sink_summary": BUILT + """
+select (select count(distinct viewer_id) from watch0) as viewers_read, (select count(*) from lec) as lectures_seen, count(*) as lectures_used,
+  count(*) filter (where ('0x' || substr(sha256(video_id), 1, 8))::bigint % 10000 >= 2000) as train, count(*) filter (where ('0x' || substr(sha256(video_id), 1, 8))::bigint % 10000 < 2000) as test,
+  sum(ceil(duration_s))::bigint as seconds, count(*) as captions, sum(lines)::bigint as caption_lines from top""",
     "curve_run_summary": LECT + f""",
 top as (select * from lec where {LIMITS} order by n_starters desc, video_id limit 40),
 s as (select count(*) as lectures_used, count(*) filter (where ('0x' || substr(sha256(video_id), 1, 8))::bigint % 10000 < 2000) as test from top)

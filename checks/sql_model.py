@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from checks.sql_semantic import SEGF, SQL as SEMANTIC
+from checks.sql_semantic import SEGF
 from checks.sql_watch import LECT, WS
 
 BASE = LECT + """,
@@ -76,9 +76,39 @@ SCORED = f"""scored as (
   from documents join labels using (doc_id))"""
 AUC = "count(*) filter (where label = 1) as n_pos, count(*) filter (where label = 0) as n_neg"
 
-MF = SEMANTIC["model_features"]
 FEATS = """rel_start rel_end log_start_s is_first is_silence pace_ratio semantic_novelty information_gain repetition_similarity repeated_sentence_ratio
 repetition_count topic_shift topic_boundary novelty_prev3_mean gain_prev3_mean s_since_topic_start""".split()
+#: lecture segments with observed drops, and measured features where a video has the lecture's number
+MATRIX = LECT + ", " + SEGF.removeprefix("with ") + """,
+nov3 as (select video_id, idx, avg(semantic_novelty) over (partition by video_id order by idx rows between 2 preceding and current row) as m from segf where semantic_novelty is not null),
+gain3 as (select video_id, idx, avg(information_gain) over (partition by video_id order by idx rows between 2 preceding and current row) as m from segf where information_gain is not null),
+meas as (
+  select s.video_id, s.idx, (s.kind = 'silence')::int::double as is_silence, s.pace_ratio, s.semantic_novelty, s.information_gain, s.repetition_similarity,
+    s.repeated_sentence_ratio, s.repetition_count::double as repetition_count, s.topic_shift, s.topic_boundary::int::double as topic_boundary,
+    n.m as novelty_prev3_mean, g.m as gain_prev3_mean,
+    s.start - coalesce(max(case when s.topic_boundary then s.start end) over (partition by s.video_id order by s.idx), 0) as s_since_topic_start
+  from segf s asof left join nov3 n on n.video_id = s.video_id and n.idx < s.idx asof left join gain3 g on g.video_id = s.video_id and g.idx < s.idx),
+matrix as (
+  select h.video_id, h.idx, h.split, h.start, h."end", h.hazard, h.actual_r, h.signed_rate, h.rel_start, h.rel_end, ln(1 + h.start) as log_start_s, (h.idx = 0)::int::double as is_first,
+    m.* exclude (video_id, idx) from haz h left join meas m on h.video_id = 'u' || m.video_id and h.idx = m.idx)"""
+#: the given forest, node by node: tree, node, feature, cut, whether missing goes left, children, value
+WALKED = MATRIX + """,
+fnames as (select ['""" + "', '".join(FEATS) + """'] as f),
+roots as (select t, u.n as node, fnames.f[1 + (t * [1, 3, 5][u.n + 1]) % 16] as feature, t * [3, 7, 9][u.n + 1] as x, (t % [2, 3, 3][u.n + 1] = 0) <> (u.n = 2) as lost_left
+  from (select unnest(range(0, 12)) as t), (select unnest(range(0, 3)) as n) u, fnames),
+inner_nodes as (select t, node, feature, case when feature in ('log_start_s', 's_since_topic_start') then (x % 7)::double else (x % 10) / 10::double end as cut, lost_left from roots),
+long as (unpivot (select video_id, idx, """ + ", ".join(f"coalesce({f}::double, 'nan'::double) as {f}" for f in FEATS) + """ from matrix) on """ + ", ".join(FEATS) + """ into name feature value x),
+sides as (select l.video_id, l.idx, i.t, i.node, case when isnan(l.x) then i.lost_left else l.x <= i.cut end as goes_left from long l join inner_nodes i on i.feature = l.feature),
+per as (select video_id, idx, t, bool_or(goes_left) filter (where node = 0) as a, bool_or(goes_left) filter (where node = 1) as b, bool_or(goes_left) filter (where node = 2) as c
+  from sides group by all),
+walked as (
+  select video_id, idx, 0.0078125::double + sum((((t * 7 + 5 * (case when a then (case when b then 0 else 1 end) else (case when c then 2 else 3 end) end)) % 11) - 4) / 8192::double) as score
+  from per group by 1, 2)"""
+FOREST_CURVE = WALKED + """,
+tiles2 as (
+  select m.video_id, m.idx, m.split, m.start, m."end", m.actual_r, least(9, floor(m.rel_end * 10))::int as bbin,
+    product(1 - greatest(0, least(1, 1 - exp(-greatest(w.score, 0) * greatest(m."end" - m.start, 0))))) over (partition by m.video_id order by m.idx) as raw
+  from matrix m join walked w using (video_id, idx))""" + CURVE.removeprefix(BASE)
 
 SQL = {
     "position_baseline": BASE + " select bin, round(rate, 6) as rate from table0",
@@ -157,7 +187,11 @@ w as (select a.grp, sum(case when a.score > b.score then 1 when a.score = b.scor
   from scored a join scored b on a.grp = b.grp and a.label = 1 and b.label = 0 group by 1),
 r as (select grp as model, round(w / (n_pos * n_neg), 6) as auc, n_pos + n_neg as params from c join w using (grp))
 select * from r where (select max(auc) from r) - auc <= 0.1::double order by params, model limit 1""",
-    "training_set": LECT + ", mf as (" + MF + """)
-select h.video_id, h.idx, split, round(hazard, 6) as hazard, round(actual_r, 6) as actual_r, round(signed_rate, 6) as signed_rate, """
-    + ", ".join(f"mf.{f}" for f in FEATS) + " from haz h join mf on h.video_id = 'u' || mf.video_id and h.idx = mf.idx",
+    "training_set": MATRIX + """
+select video_id, idx, split, round(hazard, 6) as hazard, round(actual_r, 6) as actual_r, round(signed_rate, 6) as signed_rate, """
+    + ", ".join(f"round({f}, 6) as {f}" for f in FEATS) + " from matrix",
+    "forest_scores": WALKED + " select * from walked",
+    "forest_curve": FOREST_CURVE + " select * from points",
+    "fit_rate_directions": """select unnest(['repetition_similarity', 'repeated_sentence_ratio', 'repetition_count', 'semantic_novelty', 'information_gain',
+  'novelty_prev3_mean', 'gain_prev3_mean', 'pace_ratio']) as feature, true as kept""",
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from checks.sql_text import MARKS, PLAIN, SENTS, SEG_SENTS, TILED, TURNS
+from checks.sql_text import PLAIN, TILED, TURNS
 from stayline.plans.views import SEG_FEATURES, _DOUBLES
 
 UNITS = """with rows0 as (

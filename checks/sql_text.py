@@ -176,7 +176,7 @@ near as (
 listed as (select video_id, phrase, any_value(count) as count, any_value(rank) as rank, any_value(first) as first from near group by 1, 2 having not bool_and(near))"""
 
 PLAIN = "with " + DOCS + "," + WORDS
-TILED = PLAIN + MARKS + SENTS + TILES + SEG_SENTS
+TILED = PLAIN + MARKS + SOFT + SOFT_SENTS + TILES + SEG_SENTS
 PACE = """,
 wps as (select *, (word_end - word_start) / greatest("end" - start, 1e-6::double) as w from tiles),
 paced2 as (select *, quantile_cont(w, 0.5) over (partition by video_id) as med from wps)"""

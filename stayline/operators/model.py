@@ -5,16 +5,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import Imputer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, IsotonicRegression
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from stayline.functions import ranks
 from stayline.functions.timeline import overlap_join
+from stayline.operators import boost
 from stayline.operators.watch import curve_from_hazard, hazard_to_rate, rate_to_hazard
-from stayline.session import ensure_checkpoint_dir
 
 # Fixed values
 FEATURES = [
@@ -33,7 +29,7 @@ DIRECTION = {
     "repetition_similarity": 1, "repeated_sentence_ratio": 1, "repetition_count": 1, "semantic_novelty": -1,
     "information_gain": -1, "novelty_prev3_mean": -1, "gain_prev3_mean": -1, "pace_ratio": -1,
 }
-MAX_ITER, STEP, DEPTH, MIN_LEAF = 300, 0.05, 4, 40
+MAX_ITER, STEP, MAX_LEAVES, MIN_LEAF, L2 = 300, 0.05, 15, 40, 1.0
 BAND_QUANTILES, BAND_BINS, POSITION_BINS = (0.1, 0.9), 10, 20
 MAJOR_DROP, TOLERANCE_S = 0.05, 10.0
 HIGH_Q, MEDIUM_Q = 0.90, 0.75
@@ -394,111 +390,117 @@ def choose_model(results: DataFrame, slack: float = 0.01) -> DataFrame:
 # ---------------------------------------------------------------- learned models
 
 
-def _assembled(features: list[str]) -> list:
-    """Median-filled features plus the assembler; missing values are flagged by ``<name>_na``."""
-    filled = [f"{f}_f" for f in features]
-    return [
-        Imputer(strategy="median", inputCols=features, outputCols=filled),
-        VectorAssembler(inputCols=[*filled, *[f"{f}_na" for f in features]], outputCol="features"),
-    ]
+def settings(rounds: int = MAX_ITER) -> boost.Settings:
+    return boost.Settings(rounds, STEP, MAX_LEAVES, MIN_LEAF, L2)
 
 
-def flag_missing(df: DataFrame, features: list[str] = FEATURES) -> DataFrame:
-    return df.withColumns({f"{f}_na": F.col(f).isNull().cast("double") for f in features})
+def rate_model(name: str = "rate", without: tuple[str, ...] = ()) -> boost.Model:
+    """The signed per-second rate; columns with a direction can only raise or only lower it."""
+    kept = [f for f in FEATURES if f not in without]
+    return boost.Model(name, kept, "signed_rate", directions={f: DIRECTION[f] for f in kept if f in DIRECTION})
 
 
-def fit_rate(train: DataFrame, features: list[str] = FEATURES, max_iter: int = MAX_ITER):
-    """Boosted trees on the signed per-second rate. ``transform`` adds ``raw_rate``."""
-    ensure_checkpoint_dir(train.sparkSession)  # the rounds' lineage is cut there every ten rounds
-    gbt = GBTRegressor(
-        labelCol="signed_rate", predictionCol="raw_rate", maxIter=max_iter, stepSize=STEP, maxDepth=DEPTH,
-        minInstancesPerNode=MIN_LEAF, seed=0,
-    )
-    return Pipeline(stages=[*_assembled(features), gbt]).fit(flag_missing(train, features))
-
-
-def fit_drop_clf(train: DataFrame, features: list[str] = FEATURES, max_iter: int = MAX_ITER):
-    """Boosted trees on "this segment is a major drop", first segments left out."""
-    ensure_checkpoint_dir(train.sparkSession)
-    x = flag_missing(train.where("idx > 0"), features).withColumn("major", (F.col("hazard") >= MAJOR_DROP).cast("double"))
-    gbt = GBTClassifier(labelCol="major", maxIter=max_iter, stepSize=STEP, maxDepth=DEPTH, minInstancesPerNode=MIN_LEAF, seed=0)
-    return Pipeline(stages=[*_assembled(features), gbt]).fit(x)
-
-
-def drop_probability(model, tiles: DataFrame, features: list[str] = FEATURES) -> DataFrame:
-    from pyspark.ml.functions import vector_to_array
-
-    out = model.transform(flag_missing(tiles, features)).withColumn("p_major", vector_to_array("probability")[1])
-    return out.select(*tiles.columns, "p_major")
-
-
-class MonotoneRate:
-    """Additive rate model whose constrained effects can only move one way: per column the mean
-    residual of each value bin, made monotone where a direction is given. Scores as plain columns."""
-
-    def __init__(self, base: float, effects: list[tuple[str, list[float], list[float], float]]):
-        self.base, self.effects = base, effects
-
-    def score(self) -> Column:
-        out = F.lit(self.base)
-        for name, cuts, values, missing in self.effects:
-            step = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col(name))) if cuts else F.lit(0)
-            table = F.array(*[F.lit(x) for x in values])
-            out = out + F.when(F.col(name).isNull(), missing).otherwise(F.get(table, step))
-        return out
-
-
-def fit_monotone_rate(train: DataFrame, features: list[str] = FEATURES, bins: int = 16, rounds: int = 2, shrink: float = 0.5) -> MonotoneRate:
-    """Backfitting: every step is one small aggregate (at most ``bins`` + 1 rows reach the driver)."""
-    shares = [i / bins for i in range(1, bins)]
-    row = train.agg(F.avg("signed_rate").alias("_y"), *[F.percentile_approx(f, shares).alias(f) for f in features]).first()
-    cuts = {f: sorted({float(x) for x in (row[f] or [])}) for f in features}
-    effects = {f: ([0.0] * (len(cuts[f]) + 1), 0.0) for f in features}
-    spark = train.sparkSession
-
-    def model() -> MonotoneRate:
-        return MonotoneRate(float(row["_y"]), [(f, cuts[f], *effects[f]) for f in features])
-
-    for _ in range(rounds):
-        for f in features:
-            residual = F.col("signed_rate") - model().score()
-            step = F.size(F.filter(F.array(*[F.lit(c) for c in cuts[f]]), lambda c: c <= F.col(f))) if cuts[f] else F.lit(0)
-            per = train.groupBy(F.when(F.col(f).isNotNull(), step).alias("b")).agg(F.avg(residual).alias("m"), F.count(F.lit(1)).alias("n")).collect()
-            values, missing = list(effects[f][0]), effects[f][1]
-            known = sorted((r["b"], r["m"], r["n"]) for r in per if r["b"] is not None)
-            for r in per:
-                if r["b"] is None:
-                    missing += shrink * r["m"]
-            for b, m, _n in known:
-                values[b] += shrink * m
-            way = DIRECTION.get(f, 0)
-            if way and len(known) > 1:
-                points = spark.createDataFrame([(float(b), values[b], float(n)) for b, _m, n in known], "b double, label double, weight double")
-                iso = IsotonicRegression(featuresCol="b", weightCol="weight", isotonic=way > 0).fit(points)
-                values = [float(iso.predict(float(i))) for i in range(len(values))]
-            effects[f] = (values, missing)
-    return model()
-
-
-def ablations(train: DataFrame, test: DataFrame, max_iter: int = MAX_ITER) -> DataFrame:
-    """(group, mae, hazard_spearman_pooled, detection_f1) with each feature group left out."""
-    train, test = train.persist(), test.persist()
-    out = None
-    for name, names in GROUPS.items():
-        kept = [f for f in FEATURES if f not in names]
-        fitted = fit_rate(train, kept, max_iter)
+def drop_model() -> boost.Model:
+    """Whether a segment is a major drop, first segments left out (a null label)."""
+    return boost.Model("drop", FEATURES, "major", "log")
+
+
+def labelled(tiles: DataFrame) -> DataFrame:
+    return tiles.withColumn("major", F.when(F.col("idx") > 0, (F.col("hazard") >= MAJOR_DROP).cast("double")))
+
+
+def fit_rate(train: DataFrame, rounds: int = MAX_ITER) -> boost.Forest:
+    """Boosted trees with directions on the signed per-second rate."""
+    return boost.fit(train, [rate_model()], settings(rounds))[0]
+
 
-        def scored(df: DataFrame) -> DataFrame:
-            x = fitted.transform(flag_missing(df, kept))
-            rate = F.greatest(F.col("raw_rate"), F.lit(0.0))
-            return x.withColumn("p", rate_to_hazard(rate, F.col("end") - F.col("start"))).select(*df.columns, "p")
+def fit_drop_clf(train: DataFrame, rounds: int = MAX_ITER) -> boost.Forest:
+    """Boosted trees on "this segment is a major drop"."""
+    return boost.fit(labelled(train), [drop_model()], settings(rounds))[0]
 
-        tr, te = scored(train).persist(), scored(test).persist()
-        cut = pick_threshold(tr, "p").first()["threshold"]
+
+def fit_models(train: DataFrame, rounds: int = MAX_ITER) -> dict[str, boost.Forest]:
+    """Rate and drop model, and the rate model without each feature group, all from the same passes."""
+    models = [rate_model(), drop_model(), *[rate_model(group, tuple(names)) for group, names in GROUPS.items()]]
+    return {f.name: f for f in boost.fit(labelled(train), models, settings(rounds))}
+
+
+def with_rate(tiles: DataFrame, forest: boost.Forest, rate: str = "rate", p: str = "p") -> DataFrame:
+    """Adds the predicted rate (0 or more) and the segment's drop probability that follows from it."""
+    x = tiles.withColumn(rate, F.greatest(forest.predict(), F.lit(0.0)))
+    return x.withColumn(p, rate_to_hazard(F.col(rate), F.col("end") - F.col("start")))
+
+
+def ablation_scores(train: DataFrame, test: DataFrame, forests: dict[str, boost.Forest]) -> DataFrame:
+    """(group, mae, hazard_spearman_pooled, detection_f1) of the rate models without each feature group."""
+    out = None
+    for group in GROUPS:
+        # read by every step of the search for a threshold and by each metric
+        seen, scored = with_rate(train, forests[group]).persist(), with_rate(test, forests[group]).persist()
+        cut = pick_threshold(seen, "p").first()["threshold"]
+        seen.unpersist()
         row = (
-            curve_metrics(te).select("mae", "hazard_spearman_pooled").withColumn("_k", F.lit(1))
-            .join(detection_curve(te, "p", [cut]).select(F.col("f1").alias("detection_f1"), F.lit(1).alias("_k")), "_k")
-            .select(F.lit(name).alias("group"), F.round("mae", 4).alias("mae"), F.round("hazard_spearman_pooled", 3).alias("hazard_spearman_pooled"), "detection_f1")
+            curve_metrics(scored).select("mae", "hazard_spearman_pooled").withColumn("_k", F.lit(1))
+            .join(detection_curve(scored, "p", [cut]).select(F.col("f1").alias("detection_f1"), F.lit(1).alias("_k")), "_k")
+            .select(F.lit(group).alias("group"), F.round("mae", 4).alias("mae"), F.round("hazard_spearman_pooled", 3).alias("hazard_spearman_pooled"), "detection_f1")
         )
         out = row if out is None else out.unionByName(row)
     return out
+
+
+def ablations(train: DataFrame, test: DataFrame, rounds: int = MAX_ITER) -> DataFrame:
+    """As ablation_scores, the five models fitted in one run."""
+    models = [rate_model(group, tuple(names)) for group, names in GROUPS.items()]
+    return ablation_scores(train, test, {f.name: f for f in boost.fit(train, models, settings(rounds))})
+
+
+# ---------------------------------------------------------------- the fitted model at work
+
+
+def direction_steps(forest: boost.Forest, rows: DataFrame, grid: list[float]) -> DataFrame:
+    """(feature, steps, violations): how each row's score moves while one directed feature goes up ``grid``.
+
+    The row's other features keep their values; a step against the feature's direction is a violation.
+    """
+    cells = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(float(v)).alias("v")) for f in DIRECTION for v in sorted(grid)])
+    x = rows.select("video_id", "idx", *FEATURES, F.inline(cells))
+    x = x.select("video_id", "idx", "feature", "v", *[F.when(F.col("feature") == f, F.col("v")).otherwise(F.col(f)).alias(f) for f in FEATURES])
+    x = x.select("video_id", "idx", "feature", "v", forest.score().alias("s"))
+    up = F.col("feature").isin([f for f, way in DIRECTION.items() if way > 0])
+    moved = F.col("s") - F.lag("s").over(W.partitionBy("video_id", "idx", "feature").orderBy("v"))
+    x = x.withColumn("d", F.when(up, moved).otherwise(-moved))
+    return x.groupBy("feature").agg(F.count("d").alias("steps"), F.count_if(F.col("d") < 0).alias("violations"))
+
+
+def calibrated_prediction(rated: DataFrame) -> tuple[DataFrame, float]:
+    """Calibrated curve with band of all tiles, and the exponent; both fitted on the training lectures."""
+    k = calibrate_k(rated.where("split = 'train'")).first()["k"]
+    curve = calibrated_curve(rated, k).persist()
+    return with_band(curve, band_offsets(curve.where("split = 'train'"))), k
+
+
+def implied_drop(curve: DataFrame) -> DataFrame:
+    """Adds ``p_curve``: the share of viewers that the calibrated curve loses in each segment."""
+    before = F.coalesce(F.lag("r").over(W.partitionBy("video_id").orderBy("idx")), F.lit(1.0))
+    return curve.withColumn("p_curve", _clip(1 - F.col("r") / F.greatest(before, F.lit(1e-9))))
+
+
+def model_report(scored: DataFrame, curve: DataFrame, baseline: DataFrame) -> DataFrame:
+    """(section, metric, value): curve quality of model and baseline, detection of both at the thresholds
+    picked on training lectures, band and level, on the test lectures. ``scored`` has p_major, ``baseline`` p."""
+    test = "split = 'test'"
+
+    def rows(section: str, one: DataFrame) -> DataFrame:
+        cells = [F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in one.columns]
+        return one.select(F.lit(section).alias("section"), F.inline(F.array(*cells)))
+
+    def detected(df: DataFrame, score: str) -> DataFrame:
+        cut = pick_threshold(df.where("split = 'train'"), score).first()["threshold"]
+        late = median_delay(df.where(test), score, cut).withColumn("_k", F.lit(1))
+        return detection_curve(df.where(test), score, [cut]).withColumn("_k", F.lit(1)).join(late, "_k", "left").drop("_k")
+
+    parts = [
+        rows("model", curve_metrics(implied_drop(curve).where(test), "p_curve")), rows("baseline", curve_metrics(baseline.where(test), "p")),
+        rows("detection", detected(scored, "p_major")), rows("baseline_detection", detected(baseline, "p")), rows("band", band_coverage(curve.where(test))),
+    ]
+    return reduce(DataFrame.unionByName, parts)

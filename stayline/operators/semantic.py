@@ -3,7 +3,8 @@
 "Best earlier item" operators compare each item with every earlier one of its video. Items are cut
 into blocks of ``BLOCK`` positions; one task gets one pair of blocks and multiplies two matrices,
 so no item pair is ever a row, and a very long timeline spreads over many tasks. A usual video is
-a single block and its vectors are shuffled once.
+a single block: its vectors are shuffled once, and a task takes its videos one after the other
+from the sorted rows, without a group for each.
 """
 
 from __future__ import annotations
@@ -47,12 +48,53 @@ def _matrix(column: pd.Series, kind: str) -> np.ndarray:
     """Rows of unit vectors, from dense arrays or from token buckets."""
     if kind == "emb":
         return np.stack(column)
-    out = np.zeros((len(column), HASH_DIM))
-    for i, b in enumerate(column):
-        np.add.at(out[i], np.asarray(b if len(b) else [0], dtype=np.int64), 1.0)
+    held = [np.asarray(b if len(b) else [0], dtype=np.int64) for b in column]
+    cells = np.concatenate(held) + np.repeat(np.arange(len(held)) * HASH_DIM, [len(b) for b in held])
+    out = np.bincount(cells, minlength=len(held) * HASH_DIM).reshape(-1, HASH_DIM).astype(np.float64)
     return out / np.linalg.norm(out, axis=1, keepdims=True)
 
 
+def _earlier(left: tuple, right: tuple, gap_s: float | None, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each left item: best similarity (NaN if none), its place on the right (-1), and how many reach the threshold.
+    A side is (idx, start, end, eligible, vectors) in order of idx."""
+    sims = np.round(left[4] @ right[4].T, DIGITS)
+    ok = (right[0][None, :] < left[0][:, None]) & right[3][None, :] & left[3][:, None]
+    if gap_s is not None:
+        ok &= right[2][None, :] <= left[1][:, None] - gap_s
+    masked = np.where(ok, sims, -np.inf)
+    at, has = masked.argmax(axis=1), ok.any(axis=1)
+    return np.where(has, masked.max(axis=1), np.nan), np.where(has, at, -1), (masked >= threshold).sum(axis=1)
+
+
+def complete(batches, keys: list[str]):
+    """From batches of rows sorted by ``keys``: frames of whole groups, many at a time, and where each group starts."""
+    rest = None
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        pdf = pdf.reset_index(drop=True) if rest is None else pd.concat([rest, pdf], ignore_index=True)
+        fresh = (pdf[keys] != pdf[keys].shift()).any(axis=1).to_numpy()
+        cuts = np.flatnonzero(fresh).tolist()
+        rest = pdf[cuts[-1] :].reset_index(drop=True)  # may go on in the next batch
+        if len(cuts) > 1:
+            yield pdf[: cuts[-1]], cuts
+    if rest is not None:
+        yield rest, [0, len(rest)]
+
+
+def _side(pdf: pd.DataFrame, vectors: np.ndarray) -> tuple:
+    return pdf["idx"].to_numpy(), pdf["start"].to_numpy(), pdf["end"].to_numpy(), pdf["eligible"].to_numpy(bool), vectors
+
+
+def _found(pdf: pd.DataFrame, idx: np.ndarray, got: tuple) -> pd.DataFrame:
+    sim, at, n = got
+    match = np.where(at >= 0, idx[np.maximum(at, 0)], 0)
+    none = at < 0
+    out = pd.DataFrame({"video_id": pdf["video_id"], "idx": pdf["idx"], "sim": sim.astype(object), "match": match.astype(object), "n_similar": n})
+    out.loc[none, ["sim", "match"]] = None
+    return out
+
+
 def hash_embed(toks: Column) -> Column:
     """Hashed bag of words as a dense unit vector; no tokens gives the first axis."""
     return _unit_counts(dims(toks))
@@ -81,43 +123,46 @@ def best_earlier(
     ``dims`` (token buckets): then the hashed vectors are built where they are compared."""
     vec = "dims" if "dims" in items.columns else "emb"
     x = items.select("video_id", "idx", "start", "end", "eligible", vec).withColumn("_b", F.floor(F.col("idx") / block).cast("int"))
-    top = x.groupBy("video_id").agg(F.max("_b").alias("_top"))
+    x = x.withColumn("_top", F.max("_b").over(W.partitionBy("video_id")))
+    schema = f"video_id {items.schema['video_id'].dataType.simpleString()}, idx int, sim double, match int, n_similar long"
+
+    # videos of one block: as they lie, video by video in the order of a partition
+    def whole(batches):
+        for pdf, cuts in complete(batches, ["video_id"]):
+            vectors = _matrix(pdf[vec], vec)
+            idx, start, end, eligible, _ = _side(pdf, vectors)
+            parts = []
+            for a, b in zip(cuts, cuts[1:]):
+                side = idx[a:b], start[a:b], end[a:b], eligible[a:b], vectors[a:b]
+                sim, at, n = _earlier(side, side, gap_s, threshold)
+                parts.append((sim, np.where(at >= 0, at + a, -1), n))
+            yield _found(pdf, idx, tuple(np.concatenate(p) for p in zip(*parts)))
+
+    small = x.where("_top = 0").drop("_b", "_top").sortWithinPartitions("video_id", "idx").mapInPandas(whole, schema)
+
+    # longer ones: each pair of blocks is a group; grouping alone would leave all pairs of a video in one task
     pairs = F.expr(
         "concat(transform(sequence(0, _b), q -> named_struct('p', _b, 'q', q)),"
         "if(_top > _b, transform(sequence(_b + 1, _top), p -> named_struct('p', p, 'q', _b)), array()))"
     )
-    sent = x.join(top, "video_id").select(
-        "video_id", "idx", "start", "end", "eligible", vec, "_b", F.explode(pairs).alias("_pq")
-    ).select("*", F.col("_pq.p").alias("_p"), F.col("_pq.q").alias("_q")).drop("_pq")
-    # after a join that lies by video, grouping alone would leave all pairs of a long video in one task
-    sent = sent.repartition("video_id", "_p", "_q")
-    video_type = items.schema["video_id"].dataType.simpleString()
+    sent = x.where("_top > 0").select("*", F.inline(pairs).alias("_p", "_q")).drop("_top").repartition("video_id", "_p", "_q")
 
     def pair(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx")
-        p, q = pdf["_p"].iat[0], pdf["_q"].iat[0]
-        left, right = pdf[pdf["_b"] == p], pdf[(pdf["_b"] == q) & pdf["eligible"]]
-        out = pd.DataFrame({"video_id": left["video_id"], "idx": left["idx"], "sim": None, "match": None, "n_similar": 0})
-        if len(right):
-            sims = np.round(_matrix(left[vec], vec) @ _matrix(right[vec], vec).T, DIGITS)
-            ok = right["idx"].to_numpy()[None, :] < left["idx"].to_numpy()[:, None]
-            ok &= left["eligible"].to_numpy(bool)[:, None]
-            if gap_s is not None:
-                ok &= right["end"].to_numpy()[None, :] <= left["start"].to_numpy()[:, None] - gap_s
-            masked = np.where(ok, sims, -np.inf)
-            at, has = masked.argmax(axis=1), ok.any(axis=1)
-            out["sim"] = np.where(has, masked.max(axis=1), None)
-            out["match"] = np.where(has, right["idx"].to_numpy()[at], None)
-            out["n_similar"] = (masked >= threshold).sum(axis=1)
-        return out
-
-    found = sent.groupBy("video_id", "_p", "_q").applyInPandas(
-        pair, f"video_id {video_type}, idx int, sim double, match int, n_similar long"
-    )
+        pdf = pdf.sort_values("idx").reset_index(drop=True)
+        vectors = _matrix(pdf[vec], vec)
+        p, q = (pdf["_b"] == pdf["_p"].iat[0]).to_numpy(), (pdf["_b"] == pdf["_q"].iat[0]).to_numpy()
+        right = _side(pdf[q], vectors[q])
+        if not q.any():
+            nothing = np.full(p.sum(), np.nan), np.full(p.sum(), -1), np.zeros(p.sum(), np.int64)
+            return _found(pdf[p], np.zeros(1, np.int64), nothing)
+        return _found(pdf[p], right[0], _earlier(_side(pdf[p], vectors[p]), right, gap_s, threshold))
+
+    found = sent.groupBy("video_id", "_p", "_q").applyInPandas(pair, schema)
     best = F.max(F.when(F.col("sim").isNotNull(), F.struct("sim", (-F.col("match")).alias("m"))))
-    return found.groupBy("video_id", "idx").agg(best.alias("_x"), F.sum("n_similar").alias("n_similar")).select(
+    long = found.groupBy("video_id", "idx").agg(best.alias("_x"), F.sum("n_similar").alias("n_similar")).select(
         "video_id", "idx", F.col("_x.sim").alias("sim"), (-F.col("_x.m")).alias("match"), "n_similar"
     )
+    return small.unionByName(long)
 
 
 def segment_repetition(items: DataFrame, gap_s: float = MIN_GAP_S, threshold: float = MATCH_THRESHOLD) -> DataFrame:
@@ -144,21 +189,22 @@ def information_gain(items: DataFrame, window_s: float = CONTEXT_S, chunk_s: flo
     x = items.select("video_id", "idx", "start", "end", "emb", own.alias("_own"), F.explode(F.sequence(own, F.greatest(own, reach))).alias("_chunk"))
     video_type = items.schema["video_id"].dataType.simpleString()
 
-    def gain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx").reset_index(drop=True)
-        emb, ends = np.stack(pdf["emb"]).astype(np.float64), pdf["end"].to_numpy()
-        rows = []
-        for i in np.flatnonzero((pdf["_own"] == pdf["_chunk"]).to_numpy()):
-            context = np.flatnonzero(ends[:i] > pdf["start"].iat[i] - window_s)
-            if len(context) == 0:
-                rows.append((pdf["video_id"].iat[i], pdf["idx"].iat[i], None))
-                continue
-            c = emb[context].mean(axis=0)
-            size = np.linalg.norm(c)
-            rows.append((pdf["video_id"].iat[i], pdf["idx"].iat[i], float(1 - emb[i] @ c / (size if size > 0 else 1.0))))
-        return pd.DataFrame(rows, columns=["video_id", "idx", "information_gain"])
+    def gain(batches):
+        for pdf, cuts in complete(batches, ["video_id", "_chunk"]):
+            emb, start, end = np.stack(pdf["emb"]).astype(np.float64), pdf["start"].to_numpy(), pdf["end"].to_numpy()
+            out = np.full(len(pdf), np.nan)
+            for a, b in zip(cuts, cuts[1:]):
+                near = np.tril(end[None, a:b] > start[a:b, None] - window_s, -1)
+                n = near.sum(axis=1)
+                center = near.astype(np.float64) @ emb[a:b] / np.maximum(n, 1)[:, None]
+                size = np.linalg.norm(center, axis=1)
+                out[a:b] = np.where(n > 0, 1 - (emb[a:b] * center).sum(axis=1) / np.where(size > 0, size, 1.0), np.nan)
+            rows = pd.DataFrame({"video_id": pdf["video_id"], "idx": pdf["idx"], "information_gain": np.where(np.isnan(out), None, out)})
+            yield rows[(pdf["_own"] == pdf["_chunk"]).to_numpy()]
 
-    return x.groupBy("video_id", "_chunk").applyInPandas(gain, f"video_id {video_type}, idx int, information_gain double")
+    # rows of a video's chunk lie together and in order; a task takes chunk after chunk
+    placed = x.repartition("video_id", "_chunk").sortWithinPartitions("video_id", "_chunk", "idx")
+    return placed.mapInPandas(gain, f"video_id {video_type}, idx int, information_gain double")
 
 
 def topic_shift(items: DataFrame) -> DataFrame:
@@ -242,15 +288,20 @@ def topic_sections(segments: DataFrame, boundaries: DataFrame) -> DataFrame:
 
 
 def repeated_sentences(segment_words: DataFrame, sentences: DataFrame, matches: DataFrame) -> DataFrame:
-    """Per segment: share of its words in matched sentences and its strongest matches.
-    ``segment_words`` has (video_id, idx, sent_idx) per word; ``matches`` is by sentence."""
+    """As repeated_by_counts; ``segment_words`` has (video_id, idx, sent_idx) per word."""
+    per = segment_words.groupBy("video_id", "idx", "sent_idx").agg(F.count(F.lit(1)).alias("n"))
+    return repeated_by_counts(per, sentences, matches)
+
+
+def repeated_by_counts(per: DataFrame, sentences: DataFrame, matches: DataFrame) -> DataFrame:
+    """Per segment: share of its words in matched sentences and its strongest matches. ``per`` has
+    (video_id, idx, sent_idx, n): a segment's words of a sentence; ``matches`` is by sentence."""
     m = matches.select("video_id", F.col("idx").alias("sent_idx"), "match", "sim")
     times = sentences.select("video_id", F.col("sent_idx"), "start", "end")
     m = m.join(times, ["video_id", "sent_idx"]).join(
         times.select("video_id", F.col("sent_idx").alias("match"), F.col("start").alias("matched_start"), F.col("end").alias("matched_end")),
         ["video_id", "match"],
     )
-    per = segment_words.groupBy("video_id", "idx", "sent_idx").agg(F.count(F.lit(1)).alias("n"))
     hit = F.struct(
         (-F.bround("sim", 4)).alias("neg"), "sent_idx", "start", "end", F.col("match").alias("matched_sentence"), "matched_start", "matched_end"
     )

@@ -23,7 +23,7 @@ def _shape(df):
 def script_lines(spark, sf):
     """Script sentences with tokens and vectors; the middle sentence is the video's title."""
     w = tq.words(spark, sf)
-    s = text.sentence_features(sen.sentence_table(sen.sentences_with_words(w, soft=False)))
+    s = text.sentence_features(sen.sentence_table(sen.sentences_with_words(w)))
     s = s.withColumn("emb", semantic.hash_embed(F.col("tokens"))).persist()
     n = s.groupBy("video_id").agg(F.expr("count(1) div 2").cast("int").alias("mid"))
     mid = s.join(n, "video_id").where("sent_idx = mid")

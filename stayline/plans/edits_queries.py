@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from stayline.operators import compare as cp, edits as op
 from stayline.plans import views as v
-from stayline.sources import manifest, sinks
+from stayline.session import ensure_checkpoint_dir
+from stayline.sources import manifest, sinks, watch_log
 
 
 def _ops(spark, sf):
@@ -18,16 +21,6 @@ def edit_ops(spark, sf):
     return x.select("plan_id", F.transform("ops", lambda o: o["start"]).alias("starts"), F.transform("ops", lambda o: o["end"]).alias("ends"), "applied", "skipped", "applied_custom")
 
 
-def _simple_ops(spark, sf):
-    """One operation per plan, so the SQL needs no conflict rule: its first click or error event."""
-    e = v.load(spark, sf, "events").where("event_type in ('click', 'error')").select(
-        F.expr("event_id div 20").alias("plan_id"), "event_id", "event_type", F.expr(v._DONE).alias("start"))
-    one = e.groupBy("plan_id").agg(F.min_by(F.struct("event_id", "event_type", "start"), "event_id").alias("x")).select("plan_id", "x.*")
-    factor = F.when(F.col("event_type") == "error", 2.0).otherwise(F.lit(float("inf")))
-    o = F.struct("start", (F.col("start") + 5 + F.col("event_id") % 40).alias("end"), factor.alias("factor"), F.lit("x").alias("id"), F.lit(False).alias("custom"))
-    return one.select("plan_id", F.array(o).alias("ops"))
-
-
 def plan_segments(spark, sf):
     """50 tiles of every plan's video with a planted rate and a band."""
     return v.plans(spark, sf).select("plan_id", F.explode(F.sequence(F.lit(0), F.lit(49))).alias("idx")).select(
@@ -37,12 +30,12 @@ def plan_segments(spark, sf):
 
 
 def kept_duration(spark, sf):
-    x = op.kept_duration(plan_segments(spark, sf), _simple_ops(spark, sf))
+    x = op.kept_duration(plan_segments(spark, sf), _ops(spark, sf))
     return x.select("plan_id", "idx", F.round("saved", 6).alias("saved"), F.round("kept", 6).alias("kept"))
 
 
 def simulate_exposure(spark, sf):
-    return op.simulate_exposure(plan_segments(spark, sf), _simple_ops(spark, sf), 0.8)
+    return op.simulate_exposure(plan_segments(spark, sf), _ops(spark, sf), 0.8)
 
 
 def simulate_conflicting(spark, sf):
@@ -61,20 +54,19 @@ def retention_delta(spark, sf):
     return op.retention_delta(before, op.simulate_exposure(plan_segments(spark, sf), _ops(spark, sf), 0.8), "plan_id")
 
 
+def _suggested(spark, sf):
+    return v.plan_edits(spark, sf).withColumn("simulatable", F.col("action").isin("CUT", "MOVE"))
+
+
 def resolve_edits(spark, sf):
-    e = v.plan_edits(spark, sf).withColumn("simulatable", F.col("action").isin("CUT", "MOVE"))
-    return op.resolve_edits(e)
+    return op.resolve_edits(_suggested(spark, sf))
 
 
-def _one_each(spark, sf):
-    """At most one cut in [0, 200) and one move from [200, 400) to [400, 600) per plan: no conflicts."""
-    e = v.load(spark, sf, "events").where("event_type in ('click', 'signup')").select(F.expr("event_id div 20").alias("plan_id"), "event_id", "event_type")
-    one = e.groupBy("plan_id", "event_type").agg(F.min("event_id").alias("n"))
-    cut = F.col("event_type") == "click"
-    a = F.when(cut, F.col("n") * 7 % 180 + 0.5).otherwise(200 + F.col("n") * 11 % 180 + 0.25)
-    return one.select(
-        "plan_id", F.when(cut, "CUT").otherwise("MOVE").alias("action"), a.cast("double").alias("start"), (a + 5 + F.col("n") % 15).cast("double").alias("end"),
-        F.when(~cut, 400 + F.col("n") * 13 % 190).cast("double").alias("target_time"), F.lit("m").alias("id"))
+def _resolved(spark, sf):
+    """Every plan's edits that the older conflict rule keeps."""
+    e = _suggested(spark, sf)
+    kept = op.resolve_edits(e).select("plan_id", F.explode("kept").alias("id"))
+    return e.join(kept, ["plan_id", "id"])
 
 
 def _plan_words(spark, sf):
@@ -83,29 +75,23 @@ def _plan_words(spark, sf):
 
 
 def edit_blocks(spark, sf):
-    x = op.edit_blocks(_one_each(spark, sf), v.plans(spark, sf))
+    x = op.edit_blocks(_resolved(spark, sf), v.plans(spark, sf))
     return x.select("plan_id", "place", "a", "b", F.round("new_start", 4).alias("new_start"))
 
 
 def apply_edits(spark, sf):
-    return op.apply_edits(_plan_words(spark, sf), _one_each(spark, sf), v.plans(spark, sf))
-
-
-def _pieces(spark, sf, edits):
-    cuts = edits.where("action = 'CUT'").select("plan_id", F.array(F.struct("start", "end", F.lit(float("inf")).alias("factor"), "id", F.lit(False).alias("custom"))).alias("ops"))
-    ops = v.plans(spark, sf).join(cuts, "plan_id", "left").withColumn("ops", F.coalesce("ops", F.array().cast(op._OPS)))
-    return op.edit_pieces(ops, edits.where("action = 'MOVE'"))
+    return op.apply_edits(_plan_words(spark, sf), _resolved(spark, sf), v.plans(spark, sf))
 
 
 def edit_pieces(spark, sf):
-    x = _pieces(spark, sf, _one_each(spark, sf))
-    return x.select("plan_id", F.transform("pieces", lambda p: p["start"]).alias("starts"), F.transform("pieces", lambda p: p["end"]).alias("ends"), "output_duration_s", F.size("moved").alias("n_moved"), "plan_key")
+    """The decision list of every plan's whole edits: cuts, speed-ups, trims and all moves."""
+    x = op.edit_pieces(_ops(spark, sf), v.plan_edits(spark, sf).where("action = 'MOVE'"))
+    part = lambda c: F.transform("pieces", lambda p: p[c])
+    return x.select("plan_id", part("start").alias("starts"), part("end").alias("ends"), part("factor").alias("factors"), "moved", "output_duration_s", "plan_key")
 
 
 def edit_pieces_full(spark, sf):
-    """The decision list of every plan's whole edits, speed-ups and all moves."""
-    x = op.edit_pieces(_ops(spark, sf), v.plan_edits(spark, sf).where("action = 'MOVE'"))
-    return x.select("plan_id", F.size("pieces").alias("n_pieces"), F.size("moved").alias("n_moved"), "output_duration_s", "plan_key")
+    return edit_pieces(spark, sf)
 
 
 def skip_ranges(spark, sf):
@@ -189,23 +175,55 @@ def gate_duration(spark, sf):
     return manifest.gate(o).select("video_id", "status", "reasons", "warnings")
 
 
+ARTIFACT = "video_id long, version string, created_at long, payload string, kind string"
+
+
 def sink_artifacts(spark, sf):
-    """Event records as artifact versions: the newest of each (video, kind) wins."""
+    """Event records as artifacts, appended in two batches: the newest of each (video, kind) is read back."""
     e = v.load(spark, sf, "events").select(
-        F.col("user_id").alias("video_id"), F.col("event_type").alias("kind"), F.expr("concat('v', event_id % 3)").alias("version"),
-        F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)").alias("created_at"), F.col("event_id").cast("string").alias("payload"))
-    return sinks.latest_artifacts(e)
+        F.col("user_id").alias("video_id"), F.expr("concat('v', event_id % 3)").alias("version"),
+        F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)").alias("created_at"), F.col("event_id").cast("string").alias("payload"), F.col("event_type").alias("kind"))
+    store = f"{ensure_checkpoint_dir(spark)}/artifacts-{uuid.uuid4().hex}"
+    for part in (0, 1):
+        sinks.append_artifacts(e.where(F.expr(f"cast(payload as long) % 2 = {part}")), store)
+    return sinks.read_artifacts(spark, store, ARTIFACT)
+
+
+LIMITS = {"tol": v.LECTURE_TOL, "min_starters": 2, "min_s": 20.0, "max_s": 1500.0, "min_lines": 5, "k": 40}
+
+
+def _built(spark, sf):
+    """Watch logs, id map lines (some broken, several videos a lecture) and captions, as the curve build reads them."""
+    from stayline.plans.watch_queries import _caption_lines
+
+    users = v.load(spark, sf, "events").select("user_id").distinct()
+    line = F.expr("concat('u', user_id, if(user_id % 17 = 0, '', concat(' ', user_id % 400)))").alias("value")
+    captions = watch_log.parse_captions(_caption_lines(spark, sf))
+    return captions, sinks.build_curves(v.lecture_watch(spark, sf), watch_log.parse_id_map(users.select(line)), captions, LIMITS)
+
+
+def _stored(spark, sf):
+    captions, (lectures, chosen, curve) = _built(spark, sf)
+    chosen = chosen.persist()
+    counts = {"viewers_read": v.lecture_watch(spark, sf).select("viewer_id").distinct().count(), "lectures_seen": lectures.count()}
+    folder = f"{ensure_checkpoint_dir(spark)}/curves-{uuid.uuid4().hex}"
+    sinks.store_curves(folder, curve, chosen, captions, counts, 0.2)
+    return sinks.read_curves(spark, folder)
 
 
 def sink_curves(spark, sf):
-    """Curves of the qualifying lectures as arrays, ready to be written by split."""
-    from stayline.plans.watch_queries import lecture_curve
-    from stayline.operators.watch import qualify_topk
+    """The stored curves of the qualifying lectures, read back."""
+    return _stored(spark, sf)[0].select("video_id", "split", "n_starters", "n_viewers", "duration_s", "retention")
+
+
+def sink_captions(spark, sf):
+    """The stored captions of the same lectures."""
+    return _stored(spark, sf)[1].select("ccid", F.round("duration_s", 4).alias("duration_s"), "lines", "text")
+
 
-    lec, curve = lecture_curve(spark, sf)
-    x = sinks.curve_rows(curve, qualify_topk(lec, 3, 180.0, 1500.0, 20, 40), 0.2)
-    return x.select("video_id", "split", "n_starters", "n_viewers", "duration_s", F.size("retention").alias("n"),
-                    F.round(F.aggregate("retention", F.lit(0.0), lambda s, r: s + r), 3).alias("total"))
+def sink_summary(spark, sf):
+    """What the build read, saw and wrote."""
+    return _stored(spark, sf)[2]
 
 
 def curve_run_summary(spark, sf):
@@ -221,6 +239,6 @@ QUERIES = {
     for f in (
         edit_ops, kept_duration, simulate_exposure, simulate_conflicting, avg_retention, retention_delta, resolve_edits, edit_blocks,
         apply_edits, edit_pieces, edit_pieces_full, skip_ranges, cut_seconds, export_edit_plan, top_edits, interp_at, hook_signals,
-        ab_compare, ab_summary, corpus_summary, flag_table, src_media_manifest, gate_duration, sink_artifacts, sink_curves, curve_run_summary,
+        ab_compare, ab_summary, corpus_summary, flag_table, src_media_manifest, gate_duration, sink_artifacts, sink_curves, sink_captions, sink_summary, curve_run_summary,
     )
 }

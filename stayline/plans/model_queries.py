@@ -180,9 +180,13 @@ def choose_model(spark, sf):
 
 
 def training_matrix(spark, sf):
-    tiles = lecture_tiles(spark, sf).drop("rel_start", "rel_end")
-    feats = semantic.model_features(v.seg_features(spark, sf)).withColumn("video_id", F.concat(F.lit("u"), "video_id"))
-    return tiles.join(feats, ["video_id", "idx"])
+    """Every segment of every lecture with its observed drop; measured features where a video of its name has them.
+    Position features are the lecture's own."""
+    tiles = lecture_tiles(spark, sf)
+    own = {"rel_start", "rel_end", "log_start_s", "is_first"}
+    feats = semantic.model_features(v.seg_features(spark, sf)).drop(*own, "seg_duration_s").withColumn("video_id", F.concat(F.lit("u"), "video_id"))
+    tiles = tiles.withColumns({"log_start_s": F.log1p("start"), "is_first": (F.col("idx") == 0).cast("double")})
+    return tiles.join(feats, ["video_id", "idx"], "left")
 
 
 def training_set(spark, sf):
@@ -190,23 +194,53 @@ def training_set(spark, sf):
     return m.select("video_id", "idx", "split", _r("hazard"), _r("actual_r"), _r("signed_rate"), *[_r(f) for f in op.FEATURES])
 
 
+def fixed_forest(name="fixed", trees=12):
+    """A forest by rule, to check the walk of forests: three splits a tree, on features in turn."""
+    out = []
+    for t in range(trees):
+        a, b, c = (op.FEATURES[(t * k) % len(op.FEATURES)] for k in (1, 3, 5))
+        cut = lambda f, k: (t * k % 10) / 10 if f not in ("log_start_s", "s_since_topic_start") else float(t * k % 7)  # noqa: B023, E731
+        out.append([
+            (a, cut(a, 3), t % 2 == 0, 1, 2, None), (b, cut(b, 7), t % 3 == 0, 3, 4, None), (c, cut(c, 9), t % 3 != 0, 5, 6, None),
+            *[(None, None, None, None, None, ((t * 7 + leaf * 5) % 11 - 4) / 8192) for leaf in range(4)],
+        ])
+    return op.boost.Forest(name, 0.0078125, "square", out)
+
+
+def forest_scores(spark, sf):
+    """A given forest walked over every segment's features."""
+    m = training_matrix(spark, sf)
+    return m.select("video_id", "idx", fixed_forest().score().alias("score"))
+
+
+def forest_curve(spark, sf):
+    """The curve of every lecture that follows from a given forest's rates, calibrated and with its band."""
+    rated = op.with_rate(training_matrix(spark, sf), fixed_forest()).persist()
+    curve, _ = op.calibrated_prediction(rated)
+    return op.predict_curve(curve)
+
+
 def _split(spark, sf):
     m = training_matrix(spark, sf).persist()
     return m.where("split = 'train'"), m.where("split = 'test'")
 
 
 def fit_rate(spark, sf):
-    """Boosted and monotone additive rate for every test segment."""
+    """The fitted per-second rate, 0 or more, of every test segment."""
     train, test = _split(spark, sf)
-    boosted = op.fit_rate(train)
-    monotone = op.fit_monotone_rate(train)
-    x = boosted.transform(op.flag_missing(test)).withColumn("monotone", monotone.score())
-    return x.select("video_id", "idx", F.greatest("raw_rate", F.lit(0.0)).alias("boosted_rate"), F.greatest("monotone", F.lit(0.0)).alias("monotone_rate"))
+    return op.with_rate(test, op.fit_rate(train)).select("video_id", "idx", "rate", "p")
+
+
+def fit_rate_directions(spark, sf):
+    """Steps against a feature's direction, over every test segment and a grid of values: none may be."""
+    train, test = _split(spark, sf)
+    return op.direction_steps(op.fit_rate(train), test, [i / 8 for i in range(9)]).select("feature", (F.col("violations") == 0).alias("kept"))
 
 
 def fit_drop_clf(spark, sf):
+    """The fitted probability that a test segment is a major drop."""
     train, test = _split(spark, sf)
-    return op.drop_probability(op.fit_drop_clf(train), test).select("video_id", "idx", "p_major")
+    return test.select("video_id", "idx", op.fit_drop_clf(train).predict().alias("p_major"))
 
 
 def ablations(spark, sf):
@@ -214,12 +248,36 @@ def ablations(spark, sf):
     return op.ablations(train, test)
 
 
+def _fitted(spark, sf):
+    """All lectures with fitted rate, drop probability, calibrated curve and band."""
+    train, test = _split(spark, sf)
+    rate, drop = op.boost.fit(op.labelled(train), [op.rate_model(), op.drop_model()], op.settings())
+    scored = op.with_rate(train.unionByName(test), rate).withColumn("p_major", drop.predict()).persist()
+    return scored, op.calibrated_prediction(scored)[0]
+
+
+def predict_fitted(spark, sf):
+    """The fitted curve of every lecture with band, drops and risk levels."""
+    scored, curve = _fitted(spark, sf)
+    base = op.drop_rate_by_position(scored.where("split = 'train'"))
+    risk = op.risk_levels(scored.withColumn("score", F.col("p_major")), base).select("video_id", "idx", _r("ratio"), "risk")
+    return op.predict_curve(curve).join(risk, ["video_id", "idx"])
+
+
+def model_report(spark, sf):
+    """Metrics of the fitted models and of the position baseline on the test lectures."""
+    scored, curve = _fitted(spark, sf)
+    table = op.position_baseline(scored.where("split = 'train'"))
+    baseline = op.baseline_predict(scored.drop("rate", "p"), table)
+    return op.model_report(scored, curve, baseline).select("section", "metric", _r("value", 4))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         position_baseline, calibrate_k, band_offsets, band_lookup, drop_rate_by_position, risk_levels, predict_curve,
         curve_points, curve_metrics, drop_detection, detection_curve, pick_threshold, band_coverage, validation_report,
         topk_points, score_points, parse_point_replies, method_comparison, pair_auc, best_f1, pair_groups, choose_model,
-        training_set, fit_rate, fit_drop_clf, ablations,
+        training_set, forest_scores, forest_curve, fit_rate, fit_rate_directions, fit_drop_clf, ablations, predict_fitted, model_report,
     )
 }

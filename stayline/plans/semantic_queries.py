@@ -13,8 +13,8 @@ def _r(c, n=6):
 
 
 def split_long(spark, sf):
-    """Sentences cut at paragraph and sentence marks only, so long ones exist."""
-    s = sen.sentences_with_words(tq.words(spark, sf), soft=False)
+    """Units of every script: sentences, the long ones cut at pauses."""
+    s = sen.sentences_with_words(tq.words(spark, sf))
     return seg.split_long(s).select("video_id", "sent_idx", "piece", "word_start", "word_end", "start", "end", "boundary")
 
 
@@ -91,7 +91,7 @@ def segment_repetition(spark, sf):
 
 def repeated_sentence_ratio(spark, sf):
     s, items = script_items(spark, sf)
-    placed = v.tile_words(sen.word_sentences(tq.words(spark, sf), soft=False))
+    placed = v.tile_words(sen.word_sentences(tq.words(spark, sf)))
     out = op.repeated_sentences(placed, s, op.sentence_matches(items))
     return out.select("video_id", "idx", "repeated_sentence_ratio", F.size("repetition_matches").alias("n_matches"),
                       F.get("repetition_matches", F.lit(0))["similarity"].alias("top_similarity"))

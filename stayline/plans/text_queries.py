@@ -74,7 +74,7 @@ def number_claims(spark, sf):
 
 def plain_sentences(spark, sf):
     """Sentences of every script with their tokens only."""
-    s = sen.sentence_table(sen.sentences_with_words(words(spark, sf), soft=False))
+    s = sen.sentence_table(sen.sentences_with_words(words(spark, sf)))
     s = s.withColumn("tokens", tc.tokens(F.col("text"))).withColumn("eligible", F.size("tokens") >= op.MIN_SENTENCE_WORDS)
     return s.select("video_id", "sent_idx", "start", "end", "tokens", "eligible").persist()
 
@@ -83,7 +83,7 @@ def script_sentences(spark, sf):
     """Sentences of every script with features and the tile that holds their last word."""
     w = words(spark, sf).persist()  # read by the tiles, the sentences and the word-level features
     tiles = v.word_tiles(w)
-    sents = op.sentence_features(sen.sentence_table(sen.sentences_with_words(w, soft=False)))
+    sents = op.sentence_features(sen.sentence_table(sen.sentences_with_words(w)))
     return w, tiles, op.sentence_to_segment(sents.persist(), tiles)
 
 

@@ -105,15 +105,6 @@ def test_curve_is_monotone_and_inside_its_band(spark):
             assert b["retention"] <= a["retention"]
 
 
-def test_monotone_model_moves_one_way(spark):
-    rnd = random.Random(1)
-    rows = [(x, rnd.random(), 0.01 * (1 - x) + rnd.uniform(-0.02, 0.02)) for x in (rnd.random() for _ in range(400))]
-    df = spark.createDataFrame(rows, "pace_ratio double, rel_start double, signed_rate double")
-    m = model.fit_monotone_rate(df, ["pace_ratio", "rel_start"], bins=6, rounds=1)
-    line = spark.createDataFrame([(i / 20, 0.5) for i in range(21)], "pace_ratio double, rel_start double").select(m.score().alias("y")).collect()
-    assert all(b["y"] <= a["y"] + 1e-12 for a, b in zip(line, line[1:]))
-
-
 def test_every_flag_has_evidence(spark):
     from stayline.plans import detect_queries as q
 

@@ -1,7 +1,10 @@
 """Exact small inputs for watch logs, curves and rates."""
 
+import hashlib
+import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from stayline.functions import ranks
@@ -9,63 +12,94 @@ from stayline.operators import watch as op
 from stayline.sources import watch_log as src
 
 
-def watch(spark, rows):
-    return spark.createDataFrame(rows, "viewer_id long, video_id string, start_point double, end_point double")
-
-
-def merged(df):
-    return sorted((r["start"], r["end"]) for r in df.collect())
-
-
-def test_merge_touching_and_reversed(spark):
-    rows = [(1, "a", s, e) for s, e in [(5, 8), (0, 3), (2, 4), (8, 9)]]
-    assert merged(op.merge_intervals(watch(spark, [(v, x, float(s), float(e)) for v, x, s, e in rows]))) == [(0, 4), (5, 9)]
-    assert merged(op.merge_intervals(watch(spark, [(1, "a", 10.0, 4.0)]))) == [(4, 10)]
-
-
-def test_merge_same_for_any_chunk(spark):
-    rnd = random.Random(3)
-    rows = [(1, "hot", s, s + rnd.random() * 9) for s in (rnd.random() * 600 for _ in range(400))]
-    df = watch(spark, rows)
-    spans = sorted((a, b) for _, _, a, b in rows)
-    want = []
-    for a, b in spans:
-        if want and a <= want[-1][1]:
-            want[-1] = (want[-1][0], max(want[-1][1], b))
-        else:
-            want.append((a, b))
-    for chunk in (1.0, 37.0, 1000.0):
-        assert merged(op.merge_intervals(df, chunk)) == want
-
-
-def test_anchor(spark):
-    near = watch(spark, [(1, "a", 4.0, 30.0), (1, "a", 50.0, 60.0)])
-    assert merged(op.anchor_start(op.merge_intervals(near), 10)) == [(0, 30), (50, 60)]
-    far = watch(spark, [(1, "a", 40.0, 60.0)])
-    assert merged(op.anchor_start(op.merge_intervals(far), 10)) == [(40, 60)]
-
-
-def test_curve(spark):
-    rows = [(1, "a", 0.0, 10.0), (2, "a", 0.0, 4.0), (2, "a", 2.0, 5.0), (3, "a", 0.0, 2.0), (3, "a", 7.0, 10.0), (4, "a", 60.0, 90.0)]
-    w = watch(spark, rows)
-    lec = spark.createDataFrame([("a", 10.0, 3)], "video_id string, duration_s double, n_starters int")
-    curve = {r["t"]: r["retention"] for r in op.retention_curve(op.coverage_diff(w, lec, 10), lec).collect()}
-    assert len(curve) == 10
-    assert (curve[0], round(curve[3], 4), round(curve[5], 4), round(curve[8], 4)) == (1.0, 0.6667, 0.3333, 0.6667)
-
-
-def test_rates_round_trip(spark):
-    df = spark.createDataFrame([(0.0, 10.0), (0.1, 12.0), (0.5, 8.0), (0.9, 15.0)], "h double, d double")
-    back = df.select("h", op.rate_to_hazard(op.hazard_to_rate(F.col("h"), F.col("d")), F.col("d")).alias("b")).collect()
-    assert all(abs(r["h"] - r["b"]) < 1e-9 for r in back)
-    two = df.limit(1).select((1 - op.rate_to_hazard(F.lit(0.02), F.lit(20.0))).alias("one"), F.pow(1 - op.rate_to_hazard(F.lit(0.02), F.lit(10.0)), 2).alias("two")).first()
-    assert abs(two["one"] - two["two"]) < 1e-12
-
-
-def test_hash_split_share(spark):
-    df = spark.range(2000).select(F.concat(F.lit("cc"), "id").alias("v")).select(op.hash_split(F.col("v"), 0.2).alias("s"))
-    share = df.where("s = 'test'").count() / 2000
-    assert 0.15 < share < 0.25
+LOG = "viewer_id long, video_id string, start_point double, end_point double"
+
+
+def viewings(seed, viewers=40, length=90):
+    """Random viewers of two videos: points on a quarter-second grid, some reversed, repeated, touching or past the end."""
+    rnd = random.Random(seed)
+    rows = []
+    for v in range(viewers):
+        for video in rnd.sample(["p", "q"], rnd.randint(1, 2)):
+            at = rnd.choice([0.0, 0.25, 3.0, 6.5, 20.0, 55.0])
+            for _ in range(rnd.randint(1, 6)):
+                to = at + rnd.randint(0, 100) / 4
+                rows.append((v, video, *rnd.choice([(at, to), (at, to), (to, at)])))
+                at = rnd.choice([to, at, max(0.0, to - 2.25), to + rnd.randint(1, 60) / 4, rnd.randint(0, 4 * length) / 4])
+    return rows
+
+
+def unions(rows):
+    """{(viewer, video): merged intervals}, from the quarter seconds that each of them covers, ends told apart from gaps."""
+    out = {}
+    for viewer, video in {r[:2] for r in rows}:
+        mine = [(round(4 * min(a, b)), round(4 * max(a, b))) for v, x, a, b in rows if (v, x) == (viewer, video)]
+        # even cells are points of the grid, odd ones the stretches between two of them
+        cells = sorted({c for a, b in mine for c in range(2 * a, 2 * b + 1)})
+        spans = []
+        for c in cells:
+            if spans and c == spans[-1][1] + 1:
+                spans[-1][1] = c
+            else:
+                spans.append([c, c])
+        out[viewer, video] = [(a / 8, b / 8) for a, b in spans]
+    return out
+
+
+def by_viewer(df):
+    out = {}
+    for r in df.orderBy("start").collect():
+        out.setdefault((r["viewer_id"], r["video_id"]), []).append((r["start"], r["end"]))
+    return out
+
+
+@pytest.mark.parametrize("seed, chunk", [(1, 1.0), (2, 37.0), (3, 1000.0)])
+def test_merged_intervals_are_the_union(spark, seed, chunk):
+    rows = viewings(seed)
+    assert by_viewer(op.merge_intervals(spark.createDataFrame(rows, LOG), chunk)) == unions(rows)
+
+
+@pytest.mark.parametrize("tol", [0.0, 6.5, 30.0])
+def test_early_starts_move_to_zero(spark, tol):
+    rows = viewings(4)
+    want = {k: [(0.0 if i == 0 and a <= tol else a, b) for i, (a, b) in enumerate(u)] for k, u in unions(rows).items()}
+    assert by_viewer(op.anchor_start(op.merge_intervals(spark.createDataFrame(rows, LOG)), tol)) == want
+
+
+@pytest.mark.parametrize("seed, tol", [(5, 3.0), (6, 20.0)])
+def test_curve_counts_the_viewers_of_each_second(spark, seed, tol):
+    rows = viewings(seed)
+    df = spark.createDataFrame(rows, LOG)
+    sizes = {"p": 61.5, "q": 90.0}
+    counts = {r["video_id"]: (r["n_viewers"], r["n_starters"]) for r in op.viewer_counts(df, tol).collect()}
+    starters = {k for k in unions(rows) if min(a for v, x, a, _ in rows if (v, x) == k) <= tol}
+    assert counts == {x: (sum(k[1] == x for k in unions(rows)), sum(k[1] == x for k in starters)) for x in counts}
+    lec = spark.createDataFrame([(x, d, counts[x][1]) for x, d in sizes.items()], "video_id string, duration_s double, n_starters int")
+    got = {(r["video_id"], r["t"]): r["retention"] for r in op.retention_curve(op.coverage_diff(df, lec, tol), lec).collect()}
+    for x, duration in sizes.items():
+        for t in range(math.ceil(duration)):
+            seen = 0
+            for k in starters:
+                spans = [(0.0 if i == 0 and a <= tol else a, b) for i, (a, b) in enumerate(unions(rows)[k])]
+                seen += k[1] == x and any(math.floor(a) <= t < math.ceil(b) for a, b in spans)
+            assert abs(got[x, t] - seen / counts[x][1]) < 1e-12
+        assert (x, math.ceil(duration)) not in got
+
+
+def test_rates_do_not_depend_on_how_time_is_cut(spark):
+    rnd = random.Random(7)
+    df = spark.createDataFrame([(rnd.uniform(0, 0.95), rnd.uniform(0.5, 40), rnd.uniform(0.1, 0.9)) for _ in range(200)], "h double, d double, part double")
+    rate = op.hazard_to_rate(F.col("h"), F.col("d"))
+    left = 1 - op.rate_to_hazard(rate, F.col("d") * F.col("part"))
+    right = 1 - op.rate_to_hazard(rate, F.col("d") * (1 - F.col("part")))
+    x = df.select("h", op.rate_to_hazard(rate, F.col("d")).alias("back"), (1 - left * right).alias("cut"))
+    assert x.where("abs(h - back) > 1e-9 OR abs(h - cut) > 1e-9").count() == 0
+
+
+def test_split_follows_the_hash(spark):
+    names = [f"lecture {i}/{i % 7}" for i in range(3000)]
+    got = {r["v"]: r["s"] for r in spark.createDataFrame([(n,) for n in names], "v string").select("v", op.hash_split(F.col("v"), 0.3).alias("s")).collect()}
+    assert got == {n: "test" if int(hashlib.sha256(n.encode()).hexdigest()[:8], 16) % 10000 < 3000 else "train" for n in names}
 
 
 def test_log_lines(spark):
