@@ -273,9 +273,13 @@ def retok(col):
 
 SQL |= {
     "segment_scores": SCORES + " select * from sco",
-    "flag_evidence_json": SEGF + FLAGS + WORDS + f"""
-select f.video_id, f.flag_id, coalesce(left(string_agg(w.text, ' ' order by w.word_idx), 500), '') as excerpt, {mmss('f.start')} as start, {mmss('f."end"')} as "end",
-  f.category, f.action, f.k || '.0' as value from fl f left join sw w on w.video_id = f.video_id and w.start >= f.start and w.start < f."end" group by f.video_id, f.flag_id, f.start, f."end", f.category, f.action, f.k""",
+    "flag_evidence_json": SEGF + FLAGS + WORDS + f""",
+said as (select f.video_id, f.flag_id, f.category, f.severity, f.source, f.action, f.k, f.start as s0, {mmss('f.start')} as a, {mmss('f."end"')} as b, {mmss('f.start + 5')} as c,
+  coalesce(left(string_agg(w.text, ' ' order by w.word_idx), 500), '') as excerpt
+  from fl f left join sw w on w.video_id = f.video_id and w.start >= f.start and w.start < f."end" group by all)
+select video_id, flag_id, excerpt, '{{"flag":{{"category":"' || category || '","severity":"' || severity || '","source":"' || source || '","start":"' || a || '","end":"' || b || '","title":"flag ' || k
+  || '"}},"evidence":[{{"label":"Planted","value":' || k || '.0,"unit":"s"}}],"suggested_edits":[{{"action":"' || action || '","start":"' || a || '","end":"' || c
+  || '","reason":"planted"}}],"transcript_excerpt":"' || excerpt || '"}}' as evidence_json from said""",
     "number_guard": f"""with e as (select event_id, value, json_extract_string(props, '$.k')::int as k from events),
 t as (select event_id, '{{"value": ' || value || ', "k": ' || k || '}}' as blob, value, k / 100::double as s,
   'About ' || round_even(value, 0)::int || ' or ' || k || '%, two of 3, at 1:' || lpad((event_id % 60)::varchar, 2, '0') || ' near ' || (event_id % 17) || '.5 times' as text from e),
@@ -289,16 +293,17 @@ k as (select *, array_to_string(list_filter(list_transform(w, lambda x, i: case
 c as (select video_id, sent_idx, original, trim(rewrite) as rewrite, len(w)::int as n, len({WORDLIST % 'rewrite'})::int as m from k),
 d as (select *, greatest(6, floor(n * 0.8::double)) as most, greatest(1, floor(n * 0.35::double)) as least,
   regexp_extract_all(original, {lit(scores.SOURCE_NUMBER)}, 1) as src, regexp_extract_all(rewrite, {NUM}, 1) as nums from c),
-e as (select *, (m > most)::int + (m < least)::int
-   + (len(list_filter(nums, lambda x: not (list_contains(src, x) or list_contains(src, rtrim(x, '%')) or list_contains(list_transform(src, lambda y: rtrim(y, '%')), x) or list_contains(list_transform(src, lambda y: rtrim(y, '%')), rtrim(x, '%')) or rtrim(x, '%') in ('0', '1', '2', '3')))) > 0)::int
-   + (abs({DEVA % ('rewrite', 'rewrite')} - {DEVA % ('original', 'original')}) > 0.35::double)::int as bad from d),
+b as (select *, list_filter(nums, lambda x: not (list_contains(src, x) or list_contains(src, rtrim(x, '%')) or list_contains(list_transform(src, lambda y: rtrim(y, '%')), x) or list_contains(list_transform(src, lambda y: rtrim(y, '%')), rtrim(x, '%')) or rtrim(x, '%') in ('0', '1', '2', '3'))) as added from d),
+e as (select *, list_filter([case when m > most then 'not shorter enough (' || m || ' words, limit ' || most::int || ')' end, case when m < least then 'cut too much (' || m || ' words, at least ' || least::int || ')' end,
+   case when len(added) > 0 then 'added numbers not in the original: ' || array_to_string(added, ', ') end,
+   case when abs({DEVA % ('rewrite', 'rewrite')} - {DEVA % ('original', 'original')}) > 0.35::double then 'wrong script for the video''s language' end], lambda x: x is not null) as why from b),
 osrc as (select video_id, sent_idx, {retok('original')} as toks from c),
 rsrc as (select video_id, sent_idx, {retok('rewrite')} as toks from c)""" + vectors("ov", "osrc", "video_id, sent_idx") + vectors("rv", "rsrc", "video_id, sent_idx") + """,
 s as (select o.video_id, o.sent_idx, round_even(round(sum(o.w * r.w), 12), 3) as sim from ov o join rv r using (video_id, sent_idx, dim) group by 1, 2),
-f as (select e.*, case when bad = 0 and n >= 12 then coalesce(sim, 0) end as ms from e left join s using (video_id, sent_idx)),
-g as (select *, case when n < 12 then 1 else bad + coalesce((ms < 0.7::double)::int, 0) end as rej from f)
-select video_id, sent_idx, rewrite, n as original_words, m as rewrite_words, ms as meaning_similarity, rej = 0 as accepted,
-  case when rej = 0 then round_even((n - m) / 2.5::double, 1) end as est_seconds_saved, rej::int as n_rejected from g""",
+f as (select e.*, case when len(why) = 0 and n >= 12 then coalesce(sim, 0) end as ms from e left join s using (video_id, sent_idx)),
+g as (select *, case when n < 12 then ['too little text to rewrite'] when ms < 0.7::double then list_append(why, 'meaning changed (similarity ' || ms || ', needs 0.7)') else why end as rejected from f)
+select video_id, sent_idx, rewrite, n as original_words, m as rewrite_words, ms as meaning_similarity, len(rejected) = 0 as accepted,
+  case when len(rejected) = 0 then round_even((n - m) / 2.5::double, 1) end as est_seconds_saved, rejected from g""",
     "report_rollup": SCORES + FLAGS + LEDGER + POINTS + """
 select s.video_id, count(*) as segments, sum(filler_count)::bigint as fillers,
   (select count(*) from fl f where f.video_id = s.video_id) as flags, (select count(*) from fl f where f.video_id = s.video_id and severity = 'high') as high_flags,

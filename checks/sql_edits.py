@@ -136,7 +136,7 @@ RANK = "case %s when 'kept' then 3 when 'late' then 2 when 'open' then 1 else 0
 
 def met(pos, key, va, vb, better, tol, cond="true", shown=None):
     op = "<" if better == "lower" else ">"
-    return f"""select pair_id, {pos} as pos, '{key}' as key, ({shown or va})::double as va, '{better}' as better,
+    return f"""select pair_id, {pos} as pos, '{key}' as key, ({shown or va})::double as va, ({(shown or va).replace('a.', 'b.') if shown else vb})::double as vb, '{better}' as better,
   case when ({va}) is null or ({vb}) is null then 'n/a' when ({va}) = ({vb}) or abs(({va}) - ({vb})) <= {tol} then 'tie' when ({va}) {op} ({vb}) then 'a' else 'b' end as winner from pr where {cond}"""
 
 
@@ -203,7 +203,8 @@ select video_id, place, 'e' || idx as edit_id, flag_id from r where place <= 3""
     "interp_at": SIG + "," + at("67.5::double", "ip") + " select video_id, round(retention, 6) as retention, round(lower, 6) as lower, round(upper, 6) as upper from ip",
     "hook_signals": SIGNALS + " select * replace (" + ", ".join(f"round(r{m}_{c}, 6) as r{m}_{c}" for m in (30, 60) for c in ("retention", "lower", "upper")) + ") from sig",
     "ab_compare": AB + """
-select pair_id, key, case when key = 'promise' then (select promise from sig s where s.video_id = pair_id) end as said_a, case when key <> 'promise' then round(va, 3) end as num_a, better, winner,
+select pair_id, key, case when key = 'promise' then (select promise from sig s where s.video_id = pair_id) end as said_a, case when key <> 'promise' then round(va, 3) end as num_a,
+  case when key = 'promise' then (select promise from sig s where s.video_id = pair_id + 1) end as said_b, case when key <> 'promise' then round(vb, 3) end as num_b, better, winner,
   case when key in ('r30', 'r60') and winner = 'tie' then 'difference smaller than the model''s uncertainty' end as note from mets""",
     "ab_summary": AB + """,
 s as (select pair_id, count(*) filter (where winner = 'a') as wins_a, count(*) filter (where winner = 'b') as wins_b, count(*) as n, bool_and(winner = 'tie') filter (where key in ('r30', 'r60')) as same from mets group by 1)

@@ -70,7 +70,8 @@ def flag_evidence(flags: DataFrame, words: DataFrame) -> DataFrame:
     per = said.groupBy("video_id", "flag_id").agg(F.left(text, F.lit(EXCERPT_CHARS)).alias("excerpt"))
     x = flags.join(per, ["video_id", "flag_id"], "left").withColumn("excerpt", F.coalesce("excerpt", F.lit("")))
     items = F.transform("evidence", lambda e: F.struct(
-        e["label"].alias("label"), F.coalesce(e["value_str"], e["value_num"].cast("string")).alias("value"), e["unit"].alias("unit"),
+        # numbers stay numbers
+        e["label"].alias("label"), F.when(e["value_str"].isNotNull(), e["value_str"].cast("variant")).otherwise(e["value_num"].cast("variant")).alias("value"), e["unit"].alias("unit"),
         F.when(e["ref_start"].isNotNull() & e["ref_end"].isNotNull(), F.concat(mmss(e["ref_start"]), F.lit("–"), mmss(e["ref_end"]))).alias("matches")))
     edits = F.transform("edits", lambda e: F.struct(e["action"].alias("action"), mmss(e["start"]).alias("start"), mmss(e["end"]).alias("end"), e["reason"].alias("reason")))
     head = F.struct("category", "severity", "source", mmss(F.col("start")).alias("start"), mmss(F.col("end")).alias("end"), "title")

@@ -133,11 +133,7 @@ def segment_scores(spark, sf):
 
 
 def flag_evidence_json(spark, sf):
-    x = sc.flag_evidence(v.seg_flags(spark, sf), v.seg_words(spark, sf))
-    j = F.col("evidence_json")
-    return x.select(*KEYS, "excerpt", F.get_json_object(j, "$.flag.start").alias("start"), F.get_json_object(j, "$.flag.end").alias("end"),
-                    F.get_json_object(j, "$.flag.category").alias("category"), F.get_json_object(j, "$.suggested_edits[0].action").alias("action"),
-                    F.get_json_object(j, "$.evidence[0].value").alias("value"))
+    return sc.flag_evidence(v.seg_flags(spark, sf), v.seg_words(spark, sf)).select(*KEYS, "excerpt", "evidence_json")
 
 
 def number_guard(spark, sf):
@@ -160,7 +156,7 @@ def rewrite_gate(spark, sf):
     x = t.select("video_id", "sent_idx", F.col("text").alias("original"), words.alias("w")).withColumn("_k", kept)
     x = x.withColumn("rewrite", F.expr("concat('00:', lpad(sent_idx, 2, '0'), ' - ', _k, if(sent_idx % 5 = 4, ' 42%', ''))"))
     out = sc.rewrite_gate(x.withColumn("words_per_second", F.lit(2.5)))
-    return out.select("video_id", "sent_idx", "rewrite", "original_words", "rewrite_words", "meaning_similarity", "accepted", "est_seconds_saved", F.size("rejected").alias("n_rejected"))
+    return out.select("video_id", "sent_idx", "rewrite", "original_words", "rewrite_words", "meaning_similarity", "accepted", "est_seconds_saved", "rejected")
 
 
 def report_rollup(spark, sf):

@@ -138,8 +138,10 @@ def _ab(spark, sf):
 
 
 def ab_compare(spark, sf):
-    return _ab(spark, sf).select("pair_id", "key", F.when(F.col("key") == "promise", F.col("a")).alias("said_a"),
-                                 F.when(F.col("key") != "promise", F.round(F.expr("try_cast(a as double)"), 3)).alias("num_a"), "better", "winner", "note")
+    promise = F.col("key") == "promise"
+    said = [F.when(promise, F.col(c)).alias(f"said_{c}") for c in ("a", "b")]
+    numbers = [F.when(~promise, F.round(F.expr(f"try_cast({c} as double)"), 3)).alias(f"num_{c}") for c in ("a", "b")]
+    return _ab(spark, sf).select("pair_id", "key", *said, *numbers, "better", "winner", "note")
 
 
 def ab_summary(spark, sf):
