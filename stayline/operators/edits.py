@@ -56,10 +56,16 @@ def saved_before(ops: str, t: str) -> Column:
     )
 
 
+def _by_plan(rows: DataFrame) -> DataFrame:
+    """Rows that come by the dozen from one row of a plan, for a join: Spark takes them for as small as the plans and
+    would send them all through the driver, so the join is told to sort and merge."""
+    return rows.hint("merge")
+
+
 def kept_duration(segments: DataFrame, ops: DataFrame) -> DataFrame:
     """Segments of each plan's video with ``saved`` (before the segment's end) and ``kept`` seconds.
     ``segments``: plan_id, idx, start, end; the plan's few operations travel as one array."""
-    x = segments.join(ops.select("plan_id", "ops"), "plan_id")
+    x = _by_plan(segments).join(ops.select("plan_id", "ops"), "plan_id")
     x = x.withColumns({"_s0": saved_before("ops", "start"), "saved": saved_before("ops", "end")})
     return x.withColumn("kept", F.col("end") - F.col("start") - (F.col("saved") - F.col("_s0"))).drop("_s0", "ops")
 
@@ -70,7 +76,7 @@ def simulate_exposure(segments: DataFrame, ops: DataFrame, k: float) -> DataFram
     x = kept_duration(segments, ops).withColumn("video_id", F.col("plan_id"))
     curve = calibrated_curve(x, k, F.greatest(F.col("kept"), F.lit(0.0)))
     p = predict_curve(curve).select("video_id", "idx", "retention", "lower", "upper")
-    y = x.select("video_id", "idx", F.bround(F.col("end") - F.col("saved"), 3).alias("t"), "kept").join(p, ["video_id", "idx"]).where("kept > 1e-6")
+    y = x.select("video_id", "idx", F.bround(F.col("end") - F.col("saved"), 3).alias("t"), "kept").join(_by_plan(p), ["video_id", "idx"]).where("kept > 1e-6")
     start = ops.select(F.col("plan_id").alias("video_id"), F.lit(-1).alias("idx"), F.lit(0.0).alias("t"), *[F.lit(1.0).alias(c) for c in ("retention", "lower", "upper")])
     out = y.drop("kept").unionByName(start)
     return out.withColumnRenamed("video_id", "plan_id")
@@ -143,7 +149,7 @@ def apply_edits(words: DataFrame, edits: DataFrame, plans: DataFrame) -> DataFra
     sec = F.explode(F.sequence(F.floor("a"), F.floor("b")))
     b = blocks.select("plan_id", "place", "a", "b", "new_start", "duration_s", sec.alias("_sec"))
     w = words.withColumn("_mid", (F.col("start") + F.col("end")) / 2).withColumn("_sec", F.floor("_mid"))
-    x = w.join(b, ["plan_id", "_sec"]).where(
+    x = _by_plan(w).join(_by_plan(b), ["plan_id", "_sec"]).where(
         ((F.col("a") <= F.col("_mid")) & (F.col("_mid") < F.col("b"))) | ((F.col("b") == F.col("duration_s")) & (F.col("_mid") == F.col("b"))))
     off = F.col("new_start") - F.col("a")
     order = W.partitionBy("plan_id").orderBy("place", "word_idx")

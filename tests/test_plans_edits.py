@@ -111,3 +111,19 @@ def test_every_flag_has_evidence(spark):
     rows = q.detect_flags(spark, SMALL).collect()
     assert rows and all(r["n_evidence"] > 0 for r in rows)
     assert len({(r["video_id"], r["flag_id"]) for r in rows}) == len(rows)
+
+
+def test_rows_of_plans_are_not_broadcast(spark):
+    """Words and segments, a row of a plan times 300 or 50, look as small as the plans; sent to the driver, they fill it."""
+    import __spark_entry__ as entry
+
+    for name in ("apply_edits", "kept_duration", "simulate_exposure", "simulate_conflicting", "retention_delta"):
+        plan = entry.queries()[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString().splitlines()
+        sent = None  # depth of the broadcast that the line lies under
+        for line in plan:
+            depth = line.find("+- ") if "+- " in line else line.find(":- ")
+            if sent is not None and depth <= sent:
+                sent = None
+            assert sent is None or "Generate explode(org.apache" not in line, name
+            if sent is None and "BroadcastExchange" in line:
+                sent = depth
