@@ -80,3 +80,14 @@ def test_report_and_curve(lectures, fitted):
 def test_probabilities(lectures, fitted):
     p = [r[0] for r in lectures.select(fitted["drop"].predict()).collect()]
     assert all(0 < x < 1 for x in p) and isinstance(fitted["drop"], boost.Forest)
+
+
+def test_metrics_of_videos_without_spread(spark):
+    """A video whose hazards are all equal has no rank correlation; it is left out, and nothing divides by zero."""
+    flat = [("a", i, 0.9, 0.1, 0.1 + i / 100) for i in range(4)]
+    more = [("b", i, 1 - i / 10, 0.1 * i, 0.2 * i) for i in range(4)]
+    tiles = spark.createDataFrame(flat + more, "video_id string, idx int, actual_r double, hazard double, p double")
+    got = op.curve_metrics(tiles).first()
+    assert abs(got["hazard_spearman_within"] - 1.0) < 1e-9
+    alone = op.curve_metrics(tiles.where("video_id = 'a'")).first()
+    assert alone["hazard_spearman_within"] is None and alone["pearson"] is None and alone["spearman"] is None
