@@ -24,7 +24,7 @@ NEAR_ALIKE = 80
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learned language; those without a letter, or near to no codeword, go."""
     model = language.train(language.not_held_out(docs))
-    known = language.identify(with_row(docs, "text"), model, "row")
+    known = language.identify(with_row(docs), model, "row")
     far = F.col("ambiguous") & (F.col("loss") >= REJECT_LOSS)
     return known.where((F.col("lang_pred") != "und") & ~far).select("row.*")
 

@@ -91,3 +91,15 @@ def test_near_copies_from_80(spark):
     kept = corpus_pipeline.drop_near_copies(spark, table, None)
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted([*range(0, 120, 2), *low])
     assert near.near_classes(table).where("doc_id <> component_id").count() == 0
+
+
+def test_language_is_read_from_the_row(spark):
+    """A document's text goes to Python once, inside its row, with the same predictions as beside it."""
+    from stayline.llm import language
+    from stayline.llm.common import with_row
+
+    docs = spark.createDataFrame([(i, t, s) for i, (t, s) in enumerate([("the cat and the dog", "en"), ("le chat et le chien", "fr"), (None, "en")] * 30)], "doc_id long, text string, lang string")
+    model = language.train(docs)
+    inside = language.identify(with_row(docs), model, "row").select("row.*", "lang_pred", "score")
+    beside = language.identify(docs, model, "doc_id", "text", "lang").select("doc_id", "text", "lang", "lang_pred", "score")
+    assert sorted(map(str, inside.collect())) == sorted(map(str, beside.collect()))
