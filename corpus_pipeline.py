@@ -8,6 +8,7 @@ each document's place, mix_slot and mix_offset, by which packing deals the piece
 from __future__ import annotations
 
 import uuid
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -19,8 +20,19 @@ from stayline.llm.queries import tokenizer_path
 REJECT_LOSS = 0.75
 #: documents that share this many of 100 shingles are near copies (op8 has its own threshold)
 NEAR_ALIKE = 80
+#: rows sent to Python at once; a batch of texts is held by the executor and by its worker
+BATCH_ROWS = 1000
 
 
+def in_small_batches(stage):
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        return stage(spark, docs, sf_dir)
+
+    return wraps(stage)(run_stage)
+
+
+@in_small_batches
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learned language; those without a letter, or near to no codeword, go."""
     model = language.train(language.not_held_out(docs))
@@ -29,6 +41,7 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return known.where((F.col("lang_pred") != "und") & ~far).select("row.*")
 
 
+@in_small_batches
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines seen earlier; one that loses all its lines goes, one that was blank stays."""
     got = lines.drop_lines(with_row(docs, "doc_id", "text")).where(r"_n_dropped = 0 OR _kept RLIKE '\\S'")
@@ -39,17 +52,20 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return got.select(*[fresh.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
+@in_small_batches
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
     return near.keep_first(with_row(docs, "doc_id", "text"), NEAR_ALIKE).select("row.*")
 
 
+@in_small_batches
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with their places in an order in which the sources come at their target weights."""
     kept = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in mixing.PLACE]
     return mixing.mixed(with_row(docs, "doc_id", "source")).select(*kept, *mixing.PLACE)
 
 
+@in_small_batches
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents and their places in sequences, which come in the order of mixing."""
     return packing.pack(docs, tokenizer_path(), order=F.col("mix_slot") * mixing.BLOCK + F.col("mix_offset"))

@@ -33,7 +33,9 @@ FILLINGS = 50
 #: parts of an order among which the uses of a filling are spread
 PARTS = 64
 #: distinct words whose ids a Python worker keeps
-WORDS_KEPT = 250_000
+WORDS_KEPT = 100_000
+#: texts divided into words at once
+TEXTS = 100
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: how byte-level vocabularies of this kind divide a text (fixed value), and the id of a newline there
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -113,7 +115,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, order: Column |
     """(doc_id, piece, start, length, ids_crc32, _order): each document with an end token, cut to capacity."""
 
     def rows(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, TEXTS):
             out = []
             for doc, at, raw in zip(batch.column("doc_id").to_pylist(), batch.column("_order").to_pylist(), token_bytes(texts_of(batch), path)):
                 raw += b"\0\0\0\0"
