@@ -118,11 +118,12 @@ def visual_compensation(spark, sf):
 
 def detect_flags(spark, sf):
     """Every rule together: numbered, sourced, snapped and with all evidence."""
-    segs = v.seg_features(spark, sf).persist()
-    words, checks = v.seg_words(spark, sf), v.seg_checks(spark, sf)
+    # placed by video once, for all rules' windows and joins; words, checks, sentences and ledger are made from them too
+    segs = v.seg_features(spark, sf, placed=True).persist()
+    words, checks = v.seg_words(spark, sf, segs), v.seg_checks(spark, sf, segs)
     found = [
-        op.rule_slow_hook(segs, words), op.rule_late_promise(segs, checks, v.seg_sentences(spark, sf)), op.rule_repetition(segs, checks),
-        op.rule_low_information(segs), op.rule_pacing(segs), op.rule_silence(segs), op.rule_static(segs), op.rule_ledger(v.seg_ledger(spark, sf)),
+        op.rule_slow_hook(segs, words), op.rule_late_promise(segs, checks, v.seg_sentences(spark, sf, segs)), op.rule_repetition(segs, checks),
+        op.rule_low_information(segs), op.rule_pacing(segs), op.rule_silence(segs), op.rule_static(segs), op.rule_ledger(v.seg_ledger(spark, sf, segs)),
     ]
     out = op.assemble(segs, found, words, _phrases(segs))
     return out.select("video_id", "flag_id", "start", "end", "severity", "category", "source", "risk_score", "title", F.size("evidence").alias("n_evidence"),
