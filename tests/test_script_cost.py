@@ -52,3 +52,19 @@ def test_terminal_tokens(told):
 def test_joined_texts(told):
     df = told.createDataFrame([(["a", "b"],), (["中", "文", "a"],), (["é", "b"],), ([],), (None,)], "w array<string>")
     assert [r["x"] for r in df.select(tc.join_tokens(F.col("w")).alias("x")).collect()] == ["a b", "中文 a", "é b", "", None]
+
+
+@pytest.mark.parametrize("soft", [True, False])
+def test_words_are_sorted_once(told, soft):
+    """Runs, and then sentences with their words, were each sorted anew, which large partitions could not hold."""
+    words = src.script_words(told.createDataFrame([(1, "One two. Three", "en")], "video_id long, text string, lang string"))
+    above = plan(sen.sentences_with_words(words, soft)).split("posexplode(tokens")[0]
+    assert above.count("Sort [") == 1
+
+
+def test_a_transcript_with_missing_numbers(told):
+    """Word numbers may leave gaps between runs; a run without an end mark is cut where it gets too long."""
+    rows = [(1, n, f"w{n}" + ("." if n == 12 else ""), n * 1.0, n + 0.9, False, False) for n in [*range(3, 13), *range(20, 45)]]
+    words = told.createDataFrame(rows, "video_id long, word_idx int, text string, start double, end double, paragraph_break boolean, phrase_break boolean")
+    got = [(r["sent_idx"], r["word_start"], r["word_end"], r["end_reason"]) for r in sen.build_sentences(words).orderBy("sent_idx").collect()]
+    assert got == [(0, 3, 13, "punct"), (1, 20, 36, "max_length"), (2, 36, 45, "end")]
