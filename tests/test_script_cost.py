@@ -68,3 +68,13 @@ def test_a_transcript_with_missing_numbers(told):
     words = told.createDataFrame(rows, "video_id long, word_idx int, text string, start double, end double, paragraph_break boolean, phrase_break boolean")
     got = [(r["sent_idx"], r["word_start"], r["word_end"], r["end_reason"]) for r in sen.build_sentences(words).orderBy("sent_idx").collect()]
     assert got == [(0, 3, 13, "punct"), (1, 20, 36, "max_length"), (2, 36, 45, "end")]
+
+
+def test_tasks_by_the_size_of_the_texts(told, monkeypatch):
+    """With a fixed number of tasks each got more words to sort as the corpus grew."""
+    df = told.createDataFrame([(i, "word " * 20, "en") for i in range(50)], "video_id long, text string, lang string")
+    n = int(told.conf.get("spark.sql.shuffle.partitions"))
+    assert src.place_by_video(df).rdd.getNumPartitions() == n
+    monkeypatch.setattr(src, "TASK_TEXT", 400)
+    assert src.place_by_video(df).rdd.getNumPartitions() == 13
+    assert src.place_by_video(df.where("false")).rdd.getNumPartitions() == n
