@@ -78,3 +78,11 @@ def test_tasks_by_the_size_of_the_texts(told, monkeypatch):
     monkeypatch.setattr(src, "TASK_TEXT", 400)
     assert src.place_by_video(df).rdd.getNumPartitions() == 13
     assert src.place_by_video(df.where("false")).rdd.getNumPartitions() == n
+
+
+def test_kept_sentences_hold_each_text_once(told, tmp_path):
+    told.createDataFrame([(1, "One two three four. Five", "en")], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = tq.segment_text_agg(told, str(tmp_path))
+    kept = [x for x in plan(out).split("InMemoryRelation [")[1:]]
+    assert kept and all("at#" in x.split("]")[0] and "ws#" not in x.split("]")[0] for x in kept)
+    assert [(r["idx"], r["word_count"]) for r in out.collect()] == [(0, 5)]
